@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, chat, pii
 
 
 def tokenizer_path() -> str:
@@ -24,5 +24,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe}
-ORACLES: dict[str, str] = {}
+#: For the queries only; real data need a secret of their own.
+QUERY_KEY = b"a key for these queries"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_documents(spark, sf_dir), QUERY_KEY)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_pii": op2_pii, "op4_bpe": op4_bpe, "op7_chat": op7_chat}
+ORACLES: dict[str, str] = {"op7_chat": chat.FORMAT_SQL}
