@@ -50,7 +50,7 @@ PATTERNS = {
     "date": r"(?P<a>[0-9]{1,2})(?P<s>[-/.])(?P<b>[0-9]{1,2})(?P=s)(?P<y>[0-9]{4})(?![0-9])",
     "day_month": rf"(?P<d>[0-9]{{1,2}}) (?P<m>{_MONTH}) (?P<y>[0-9]{{4}})(?![0-9])",
     "month_day": rf"(?P<m>{_MONTH}) (?P<d>[0-9]{{1,2}}), (?P<y>[0-9]{{4}})(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
 }
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 MARK = re.compile("[0-9@]")
@@ -120,7 +120,12 @@ class Pseudonyms:
 
     def _secret(self, found: re.Match) -> str:
         at = found.start("value") - found.start()
-        return found[0][:at] + self.symbols("secret", found["value"])
+        value = found["value"]
+        if re.fullmatch("[0-9a-f]{8,}", value):
+            new = f"{self.moved(f'hex{len(value)}', int(value, 16), 16 ** len(value)):0{len(value)}x}"
+        else:
+            new = self.symbols("secret", value)
+        return found[0][:at] + new
 
     def _card(self, found: re.Match) -> str | None:
         digits = re.sub("[ -]", "", found[0])
