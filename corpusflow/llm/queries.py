@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii
+from . import bpe, chat, pii, quality, toxicity
 
 
 def tokenizer_path() -> str:
@@ -36,5 +36,22 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_pii": op2_pii, "op4_bpe": op4_bpe, "op7_chat": op7_chat}
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n: tells the rows to learn from from those held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, keep=_remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, keep=_remainder(4) != 2)
+    return quality.score(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_chat": op7_chat, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op7_chat": chat.FORMAT_SQL}

@@ -31,7 +31,7 @@ from .vec import Words, mix, shingles
 #: A seed of common insults.
 SEED = ["idiot", "idiots", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting"]
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 GROUPS = 24
 PATTERNS = {
     "shouting": re.compile(r"\b[A-Z]{4,}(?:\W+[A-Z]{2,}){3,}"),
@@ -61,6 +61,10 @@ def lexicon(found: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
     ours, others = Counter(), Counter()
     for own, label in zip(found, toxic):
         (ours if label else others).update({e for t in own for e in entries(t)})
+    words: dict[str, set[str]] = {}
+    for t in {t for own, label in zip(found, toxic) if label for t in own}:
+        for e in entries(t)[1:]:
+            words.setdefault(e, set()).add(t)
     n, m = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     share = n / (n + m)
     # twice this likelihood ratio is a chi-square; chance alone hardly gives as much with so many entries to choose from
@@ -68,8 +72,12 @@ def lexicon(found: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
     for e, c in ours.items():
         b = others[e]
         ratio = c * np.log(c / (c + b) / share) + (b * np.log(b / (c + b) / (1 - share)) if b else 0)
-        if c >= 3 and ratio >= least and c / n >= 4 * b / m:
+        if c >= 3 and ratio >= least and c >= 3 * b and c / n >= 4 * b / m:
             strong[e] = float(np.log((c + 0.1) / (n + 0.2)) - np.log((b + 0.1) / (m + 0.2)))
+    # a beginning of which one word makes up most is that word's evidence
+    for e in [e for e in strong if e.endswith("-")]:
+        if max((ours[t] for t in words.get(e, ())), default=0) >= 0.8 * ours[e]:
+            del strong[e]
     top = sorted(strong, key=lambda e: (-ours[e] * strong[e], e))[:ENTRIES]
     return {e: strong[e] for e in top} | {e: strong.get(e, 3.0) for e in SEED}
 
