@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, quality, toxicity
+from . import bpe, chat, decontam, pii, quality, toxicity
 
 
 def tokenizer_path() -> str:
@@ -47,11 +47,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, keep=_remainder(4) != 2)
     return quality.score(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_chat": op7_chat, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op7_chat": chat.FORMAT_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op7_chat": op7_chat,
+    "op8_decontamination": op8_decontamination,
+    "op10_quality": op10_quality,
+}
+ORACLES: dict[str, str] = {"op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
