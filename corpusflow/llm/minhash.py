@@ -1,20 +1,20 @@
 """Near-duplicates by MinHash with odd sketches.
 
-Method: a document is the set of its distinct five-word shingles. ``BANDS`` x ``ROWS`` MinHash samples give band keys;
-documents that share a band key are candidates. The samples are also folded into an odd sketch, a bitmap in which each
-sample flips one bit, so that the population count of two sketches' exclusive-or estimates a high similarity closely.
+Method: a document is the set of its distinct five-word shingles. BANDS x ROWS MinHash samples give band keys, and
+documents that share one are candidates. The samples are also folded into an odd sketch, a bitmap in which each sample
+flips one bit, so that the population count of two sketches' exclusive-or estimates high similarities closely.
 Candidates whose estimate is far too low are dropped; all others are compared on their full sets, which alone decides.
 
-Groups of copies: documents with one set are one class, of which the smallest id goes on. In a bucket (the classes with
-one band key) each class is compared with three of them (by id the smallest, the largest, and the smallest by a hash),
-not with all; connected components follow from the confirmed links. Only buckets that then still hold several components
-have their classes compared across these, in blocks of bounded size, and this is repeated for what links newly join.
-So no link between two components is left out, while a group of copies costs rows in proportion to its size.
+Groups of copies: documents with one set are one class, of which the smallest id goes on. In a bucket (the classes of
+one band key) each class is compared with three of them (by id the smallest and the largest, and the smallest by a
+hash), not with all. Components follow from the confirmed links. Only in buckets that then still hold several
+components, the classes outside the largest one are compared with all others across components. So no link between
+components is left out, while a group of copies costs rows in proportion to its size.
 
-Defined cases: texts of fewer than five words are one shingle of all their words; null, empty and blank texts have
-the empty set and link with nothing; sets of very long texts are whole; rows that repeat an id and a text count once,
-with differing texts the first by set counts; an empty table gives an empty result; other columns are ignored by
-``components`` and kept by ``keep_first``.
+Defined cases: texts of fewer than five words are one shingle of all their words; null, empty and blank texts have the
+empty set and link with nothing; very long texts have whole sets; rows that repeat an id are one node, linked with
+what any of them links with; an empty table gives an empty result; other columns are ignored by ``components`` and
+kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -22,135 +22,188 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, text_bytes
+from .common import Scratch, pieces
 from .graph import connected
 from .vec import Words, mix, shingles
 
-SHINGLE = 5
+SHINGLE, PERCENT = 5, 85
 #: A pair of similarity 0.85 misses all bands with a probability of (1 - 0.85**5)**28 = 8e-8.
 BANDS, ROWS = 28, 5
-#: Bits of the odd sketch.
+#: Bits of the odd sketch, which are held in longs.
 BITS = 512
-#: Candidates with a lower estimate aren't compared further: 0.25 below the least similarity of a link, many times the estimate's spread.
+ODD = [f"o{i}" for i in range(BITS // 64)]
+#: An estimate so far below the least similarity drops a candidate: over seven times the estimate's spread there.
 DOUBT = 0.25
-#: Pairs of one group that one task row holds.
-SALT = 64
-BLOCK = 128
+#: Pairs of one document, or classes of one bucket, that go to one group of rows.
+SALT = 4096
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    n = BANDS * ROWS
-    a = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    return a, mix(a)
+def samples(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MinHash samples of non-empty sets that stand one after another, a row of BANDS * ROWS for each."""
+    a = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    b = mix(a)
+    # multiply and shift: the upper half decides
+    return np.stack([np.minimum.reduceat((own * a[i] + b[i]) >> np.uint64(32), first) for i in range(len(a))], 1)
 
 
-def signature(own: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minimum hashes of a set of 64-bit shingle hashes."""
-    a, b = _multipliers()
-    out = np.empty(len(a), np.uint64)
-    for i in range(len(a)):
-        # multiply and shift; the upper half decides
-        out[i] = ((own * a[i] + b[i]) >> np.uint64(32)).min()
-    return out
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    rows = rows.reshape(len(rows), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
+    for k in range(ROWS):
+        key = mix(key * GOLD + rows[:, :, k])
+    return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parities of the samples dealt over BITS bits, as bytes."""
-    at = mix(samples * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, len(samples) + 1, dtype=np.uint64)) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS) & 1)
+def odd_sketches(rows: np.ndarray) -> np.ndarray:
+    """Parities of each row's samples dealt over BITS bits, as longs."""
+    n, k = rows.shape
+    at = (mix(rows * GOLD + np.arange(1, k + 1, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
+    flips = np.bincount((at + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS).reshape(n, BITS)
+    return np.packbits(flips & 1, axis=1).view(np.int64).reshape(n, -1)
 
 
-def estimate(bits: np.ndarray) -> np.ndarray:
+def estimate(differing: np.ndarray) -> np.ndarray:
     """Similarity by the number of bits in which two odd sketches differ."""
-    share = np.minimum(2 * bits / BITS, 1 - 1e-9)
-    return 1 + BITS / (4 * BANDS * ROWS) * np.log(1 - share)
+    return 1 + BITS / (4 * BANDS * ROWS) * np.log(1 - np.minimum(2 * differing / BITS, 1 - 1e-9))
 
 
-_COUNTS = np.array([bin(i).count("1") for i in range(256)], np.int64)
+def most_differing(percent: int) -> int:
+    """Differing bits beyond which the estimate is under the least similarity by more than DOUBT."""
+    return int(BITS / 2 * (1 - np.exp((percent / 100 - DOUBT - 1) * 4 * BANDS * ROWS / BITS)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's digest ``d1``, ``d2``, ``bands`` and ``odd``; the last four are null for an empty set."""
+    """doc_id, n_shingles, the set's digest ``d1``, ``d2``, ``bands`` and the odd sketch; all but the first two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             own, first = shingles(Words([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]), SHINGLE)
-            n, d1, d2, bands, odd = np.diff(first), [], [], [], []
-            for a, b in zip(first[:-1], first[1:]):
-                if a == b:
-                    d1.append(None), d2.append(None), bands.append(None), odd.append(None)
-                    continue
-                part = own[a:b]
-                d1.append(int(mix(part).sum().view(np.int64)))
-                d2.append(int(mix(part ^ np.uint64(0xA0761D6478BD642F)).sum().view(np.int64)))
-                samples = signature(part)
-                rows = samples.reshape(BANDS, ROWS)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-                bands.append(key.view(np.int64))
-                odd.append(odd_sketch(samples).tobytes())
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "bands", "odd"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, odd binary")
+            n = np.diff(first)
+            full = np.flatnonzero(n)
+            place = np.full(len(n), -1)
+            place[full] = np.arange(len(full))
+            take = pa.array(place, mask=place < 0)
+            begins = first[:-1][full]
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())]
+            if len(full):
+                rows = samples(own, begins)
+                digest = [np.add.reduceat(mix(own ^ s), begins).view(np.int64) for s in (np.uint64(0), GOLD)]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * BANDS + 1, BANDS), pa.int32()), pa.array(band_keys(rows).ravel()))
+                columns += [pa.array(x).take(take) for x in digest] + [bands.take(take)] + [pa.array(x).take(take) for x in odd_sketches(rows).T]
+            else:
+                columns += [pa.nulls(len(n), pa.int64())] * 2 + [pa.nulls(len(n), pa.list_(pa.int64()))] + [pa.nulls(len(n), pa.int64())] * len(ODD)
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", *ODD])
+
+    odd = ", ".join(f"{x} long" for x in ODD)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {odd}")
+
+
+def _plausible(percent: int) -> Column:
+    """That odd sketches and sizes of ``l`` and ``r`` don't rule out a link."""
+    differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"r.{x}"))) for x in ODD), F.lit(0))
+    l, r = F.col("l.n_shingles"), F.col("r.n_shingles")
+    return (differing <= most_differing(percent)) & (100 * F.least(l, r) >= percent * F.greatest(l, r))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` that the odd sketches don't rule out."""
+    one = classes.select("doc_id", "n_shingles", *ODD)
+    both = pairs.join(one.alias("r"), F.col("b") == F.col("r.doc_id")).join(one.alias("l"), F.col("a") == F.col("l.doc_id"))
+    return both.where(_plausible(percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a`` < ``b`` of doc_ids whose full sets have 100 * intersection >= percent * union.
+    """Those of the pairs ``a``, ``b`` of doc_ids whose full sets have 100 * intersection >= percent * union.
 
-    The text of ``b`` travels once for each of its pairs, that of ``a`` once for SALT pairs, so that one document with
-    very many partners is dealt over as many tasks.
+    The text of ``b`` travels once for each of its pairs, that of ``a`` once for each of its salts, so that a document
+    of very many pairs is dealt over many tasks, of which each holds one batch and one set.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_by("a")) / SALT)))) if False else pairs
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("parts"))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "salt")
-    left = salted.select("a", "salt").distinct().join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = salted.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    salts = max(1, -(-pairs.count() // SALT))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    text = docs.select(F.col("doc_id").alias("id"), "text")
+    left = salted.select("a", "salt").distinct().join(text, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    right = salted.join(text, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ()
-        for frame in frames:
-            own, first = shingles(Words([x.encode() if isinstance(x, str) else b"" for x in frame["text"]]), SHINGLE)
-            found = []
-            for i, (a, salt, b) in enumerate(zip(frame["a"], frame["salt"], frame["b"])):
+        for batch in pieces(batches, 3, 1 << 20):
+            own, first = shingles(Words([x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()]), SHINGLE)
+            found: list[tuple[int, int]] = []
+            for i, (a, salt, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 part = own[first[i] : first[i + 1]]
-                if pd.isna(b):
-                    held = (a, salt, part.copy())
+                if b is None:
+                    held = (a, salt, part)
                 elif held[:2] == (a, salt):
                     both = len(np.intersect1d(held[2], part, assume_unique=True))
-                    if 100 * both >= percent * (len(part) + len(held[2]) - both) and both:
-                        found.append((a, int(b)))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    # within a task each left text comes before its partners; nothing more than one batch and one set is held
-    together = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return together.mapInPandas(compare, "a long, b long")
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose odd sketches don't rule out a link, and whose sizes allow it."""
-    differing = F.aggregate(F.sequence(F.lit(1), F.lit(BITS // 8), F.lit(8)), F.lit(0), lambda n, i: n + F.bit_count(F.expr("0L")))  # replaced below
-    one = classes.select("doc_id", "n_shingles", *(_word(i).alias(f"w{i}") for i in range(BITS // 64)))
-    rename = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in df.columns))
-    both = pairs.join(rename(one, "l"), F.col("a") == F.col("l_doc_id")).join(rename(one, "r"), F.col("b") == F.col("r_doc_id"))
-    differing = sum(F.bit_count(F.col(f"l_w{i}").bitwiseXOR(F.col(f"r_w{i}"))) for i in range(BITS // 64))
-    most = int(BITS / 2 * (1 - np.exp((percent / 100 - DOUBT - 1) * 4 * BANDS * ROWS / BITS)))
-    sizes = 100 * F.least("l_n_shingles", "r_n_shingles") >= percent * F.greatest("l_n_shingles", "r_n_shingles")
-    return both.where((differing <= most) & sizes).select("a", "b")
-
-
-def _word(i: int):
-    """Bits 64 * i to 64 * i + 63 of the odd sketch as a long."""
-    half = lambda at: F.conv(F.hex(F.substring("odd", at, 4)), 16, 10).cast("long")
-    return F.shiftleft(half(8 * i + 1), 32).bitwiseOR(half(8 * i + 5))
+                    if both and 100 * both >= percent * (len(part) + len(held[2]) - both):
+                        found.append((a, b))
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    # each left text comes before its partners
+    together = left.unionByName(right).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return together.mapInArrow(compare, "a long, b long")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every document."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    every = scratch.table(sketches(docs), "sketches")
+    groups = scratch.table(every.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "groups")
+    classes = every.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    members = classes.select("doc_id", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).getField("doc_id").alias("mid")).where("low < high")
+    bucketed = scratch.table(members.join(buckets, "key"), "bucketed")
+    stars = _ordered(bucketed.select("doc_id", F.explode(F.array("low", "high", "mid")).alias("star")).distinct(), "doc_id", "star")
+    tried = scratch.table(plausible(stars, classes, percent), "tried")
+    links = scratch.table(confirmed(tried, docs, percent), "links")
+    labels = connected(links, scratch, "first")
+
+    # buckets of more classes than were all compared with each other, in which several components are left
+    component = F.coalesce("component", "doc_id")
+    labelled = bucketed.where("n > 3").select("doc_id", "key", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "key", "n", component.alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("key").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    opened = scratch.table(labelled.join(main.select("key", "main"), "key"), "opened")
+    if not opened.isEmpty():
+        one = opened.join(classes.select("doc_id", "n_shingles", *ODD), "doc_id").withColumn("chunks", F.ceil(F.col("n") / SALT))
+        all_ = one.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+        others = one.where("component <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        l, r = others.alias("l"), all_.alias("r")
+        # between two that are both outside the main component, once
+        across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.doc_id") < F.col("r.doc_id")))
+        met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.chunk") == F.col("r.chunk")) & across & _plausible(percent))
+        pairs = _ordered(met.select(F.col("l.doc_id").alias("x"), F.col("r.doc_id").alias("y")), "x", "y")
+        more = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "more")
+        labels = connected(links.unionByName(confirmed(more, docs, percent)), scratch, "last")
+
+    rep = every.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
+    out = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are first (by doc_id) of their component."""
+    copies = components(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+COMPONENTS_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:least(i + 4, len(w))] AS g FROM t, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r(doc_id, m) AS (SELECT x, y FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.m = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, pii, quality, toxicity
+from . import bpe, chat, decontam, minhash, pii, quality, toxicity
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(_documents(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), tokenizer_path())
 
@@ -59,10 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
+    "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
+ORACLES: dict[str, str] = {"op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
