@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, pii, quality, toxicity
+from . import bpe, chat, decontam, minhash, pii, quality, substrings, toxicity
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(_documents(spark, sf_dir), QUERY_KEY)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_documents(spark, sf_dir))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array": op6_suffix_array,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
