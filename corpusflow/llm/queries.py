@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, pii, quality, substrings, toxicity
+from . import bpe, chat, decontam, embed, minhash, pii, quality, substrings, toxicity
 
 
 def tokenizer_path() -> str:
@@ -59,6 +59,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return embed.components(vectors).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, keep=_remainder(4) != 2)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_array": op6_suffix_array,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
+    "op9_embedding": op9_embedding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
+ORACLES: dict[str, str] = {"op9_embedding": embed.COMPONENTS_SQL, "op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
