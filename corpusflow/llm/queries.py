@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, minhash, pii, quality, substrings, toxicity
+from . import bpe, chat, decontam, embed, lm, minhash, pii, quality, substrings, toxicity
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY_KEY = b"a key for these queries"
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_documents(spark, sf_dir), training=_remainder(7) != 2)
+    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(_documents(spark, sf_dir), QUERY_KEY)
 
@@ -71,6 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_pii": op2_pii,
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
