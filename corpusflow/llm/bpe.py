@@ -192,11 +192,12 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
+def digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, SHA-256 of the ids and of the decoded text, and the ids if asked for."""
     return decode(encode(docs, path), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        *(["ids"] if ids else []),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )

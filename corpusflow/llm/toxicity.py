@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,13 +238,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 4000) -> dict:
 def score(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1, higher: more likely toxic) and predicted."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [own.score(x if isinstance(x, str) else None) for x in frame["text"]]})
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([own.score(x) for x in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= at_least).cast("int"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
 
 def reject(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
@@ -251,9 +252,9 @@ def reject(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
 
     at = docs.columns.index("text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
-        for frame in frames:
-            yield frame[[own.score(x if isinstance(x, str) else None) < at_least for x in frame.iloc[:, at]]]
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(x) < at_least for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
