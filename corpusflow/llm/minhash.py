@@ -3,7 +3,9 @@
 Method: a document is the set of its distinct five-word shingles. BANDS x ROWS MinHash samples give band keys, and
 documents that share one are candidates. The samples are also folded into an odd sketch, a bitmap in which each sample
 flips one bit, so that the population count of two sketches' exclusive-or estimates high similarities closely.
-Candidates whose estimate is far too low are dropped; all others are compared on their full sets, which alone decides.
+Candidates whose estimate is far too low are dropped. A second odd sketch folds the whole set; two such differ in at
+most as many bits as the sets differ in shingles, which rules out pairs for certain. All others are compared on their
+full sets, which alone decides.
 
 Groups of copies: documents with one set are one class, of which the smallest id goes on. In a bucket (the classes of
 one band key) each class is compared with three of them (by id the smallest and the largest, and the smallest by a
@@ -36,8 +38,11 @@ BANDS, ROWS = 28, 5
 #: Bits of the odd sketch, which are held in longs.
 BITS = 512
 ODD = [f"o{i}" for i in range(BITS // 64)]
-#: An estimate so far below the least similarity drops a candidate: over seven times the estimate's spread there.
-DOUBT = 0.25
+#: An estimate so far below the least similarity drops a candidate: five times the estimate's spread there.
+DOUBT = 0.17
+#: Bits of the odd sketch of the whole set.
+WHOLE_BITS = 1024
+WHOLE = [f"p{i}" for i in range(WHOLE_BITS // 64)]
 #: Pairs of one document, or classes of one bucket, that go to one group of rows.
 SALT = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -62,9 +67,14 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
 def odd_sketches(rows: np.ndarray) -> np.ndarray:
     """Parities of each row's samples dealt over BITS bits, as longs."""
     n, k = rows.shape
-    at = (mix(rows * GOLD + np.arange(1, k + 1, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
-    flips = np.bincount((at + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS).reshape(n, BITS)
-    return np.packbits(flips & 1, axis=1).view(np.int64).reshape(n, -1)
+    at = mix(rows * GOLD + np.arange(1, k + 1, dtype=np.uint64))
+    return parities(at.ravel(), np.repeat(np.arange(n), k), n, BITS)
+
+
+def parities(values: np.ndarray, row: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bitmaps of n rows in which each value of a row flips one bit."""
+    flips = np.bincount((values % np.uint64(bits)).astype(np.int64) + row * bits, minlength=n * bits).reshape(n, bits)
+    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.int64).reshape(n, -1)
 
 
 def estimate(differing: np.ndarray) -> np.ndarray:
@@ -94,25 +104,28 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = samples(own, begins)
                 digest = [np.add.reduceat(mix(own ^ s), begins).view(np.int64) for s in (np.uint64(0), GOLD)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * BANDS + 1, BANDS), pa.int32()), pa.array(band_keys(rows).ravel()))
-                columns += [pa.array(x).take(take) for x in digest] + [bands.take(take)] + [pa.array(x).take(take) for x in odd_sketches(rows).T]
+                whole = parities(mix(own), np.repeat(np.arange(len(full)), n[full]), len(full), WHOLE_BITS)
+                columns += [pa.array(x).take(take) for x in digest] + [bands.take(take)] + [pa.array(x).take(take) for x in (*odd_sketches(rows).T, *whole.T)]
             else:
-                columns += [pa.nulls(len(n), pa.int64())] * 2 + [pa.nulls(len(n), pa.list_(pa.int64()))] + [pa.nulls(len(n), pa.int64())] * len(ODD)
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", *ODD])
+                columns += [pa.nulls(len(n), pa.int64())] * 2 + [pa.nulls(len(n), pa.list_(pa.int64()))] + [pa.nulls(len(n), pa.int64())] * len(ODD + WHOLE)
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", *ODD, *WHOLE])
 
-    odd = ", ".join(f"{x} long" for x in ODD)
+    odd = ", ".join(f"{x} long" for x in ODD + WHOLE)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {odd}")
 
 
 def _plausible(percent: int) -> Column:
     """That odd sketches and sizes of ``l`` and ``r`` don't rule out a link."""
-    differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"r.{x}"))) for x in ODD), F.lit(0))
+    differing = lambda names: sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"r.{x}"))) for x in names), F.lit(0))
     l, r = F.col("l.n_shingles"), F.col("r.n_shingles")
-    return (differing <= most_differing(percent)) & (100 * F.least(l, r) >= percent * F.greatest(l, r))
+    # sets of such a similarity differ in at most (100 - percent) / (100 + percent) of their sizes' sum
+    possible = differing(WHOLE) * (100 + percent) <= (100 - percent) * (l + r)
+    return possible & (differing(ODD) <= most_differing(percent)) & (100 * F.least(l, r) >= percent * F.greatest(l, r))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a``, ``b`` that the odd sketches don't rule out."""
-    one = classes.select("doc_id", "n_shingles", *ODD)
+    one = classes.select("doc_id", "n_shingles", *ODD, *WHOLE)
     both = pairs.join(one.alias("r"), F.col("b") == F.col("r.doc_id")).join(one.alias("l"), F.col("a") == F.col("l.doc_id"))
     return both.where(_plausible(percent)).select("a", "b")
 
@@ -175,7 +188,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     main = parts.groupBy("key").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     opened = scratch.table(labelled.join(main.select("key", "main"), "key"), "opened")
     if not opened.isEmpty():
-        one = opened.join(classes.select("doc_id", "n_shingles", *ODD), "doc_id").withColumn("chunks", F.ceil(F.col("n") / SALT))
+        one = opened.join(classes.select("doc_id", "n_shingles", *ODD, *WHOLE), "doc_id").withColumn("chunks", F.ceil(F.col("n") / SALT))
         all_ = one.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
         others = one.where("component <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         l, r = others.alias("l"), all_.alias("r")
