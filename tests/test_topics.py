@@ -1,0 +1,145 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusflow.functions import columns as C
+from corpusflow.functions import lexicon
+from corpusflow.operators import clean, graph, text, topics
+from corpusflow.plans import pipelines
+
+
+def tokens(spark, x):
+    return spark.range(1).select(C.tokens(F.lit(x))).first()[0]
+
+
+def test_tokens(spark):
+    assert tokens(spark, "C++ and C# with scikit, LLMs; A/B tests in 2024 -- .NET!") == ["c++", "and", "c#", "with", "scikit-learn", "llm", "a/b", "tests", "in", ".net"]
+    assert tokens(spark, "Machine-Learning 1.2.3 gpt4") == ["machine", "learning", "gpt-4"]
+
+
+def lemma(spark, word, *corpus):
+    vocab = spark.createDataFrame([(w, 1) for w in {word, *corpus}], "token string, n long")
+    return {r.token: r.lemma for r in text.lemmas(vocab).collect()}[word]
+
+
+@pytest.mark.parametrize(
+    ("word", "corpus", "want"),
+    [
+        ("queries", [], "query"),
+        ("classes", [], "class"),
+        ("bias", [], "bias"),
+        ("models", [], "model"),
+        ("coding", ["code"], "code"),
+        ("coding", [], "coding"),
+        ("running", ["run"], "run"),
+        ("trained", ["train"], "train"),
+        ("learning", ["learn"], "learning"),
+        ("analyses", [], "analysis"),
+        ("series", [], "series"),
+        ("statistics", [], "statistics"),
+    ],
+)
+def test_lemmas(spark, word, corpus, want):
+    assert lemma(spark, word, *corpus) == want
+
+
+def test_ngrams_and_weights(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, [])], "id long, tokens array<string>")
+    terms = text.ngrams(docs, "id")
+    assert sorted(r.term for r in terms.where("id = 1").collect()) == ["a", "a", "a b", "b", "b a"]
+    stats = {r.term: (r.df, r.cf) for r in text.term_statistics(terms, "id").collect()}
+    assert stats == {"a": (1, 2), "b": (2, 2), "a b": (1, 1), "b a": (1, 1)}
+    vocab = text.vocabulary_terms(text.term_statistics(terms, "id"), 3, max_df=1.0)
+    got = {r.term: r.weight for r in text.tfidf(terms, vocab, 3, "id").where("id = 1").collect()}
+    raw = {"a": 2 * (math.log(4 / 2) + 1), "b": math.log(4 / 3) + 1, "a b": math.log(4 / 2) + 1, "b a": math.log(4 / 2) + 1}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert got == pytest.approx({k: v / norm for k, v in raw.items()})
+
+
+def test_stopwords():
+    assert len({*lexicon.PRONOUNS, *lexicon.VERBS, *lexicon.LINKS, *lexicon.ADVERBS}) == 245
+    assert not set(lexicon.stopwords()) & lexicon.DOMAIN_TERMS
+
+
+def test_dominant(spark):
+    probs = [(0, 0, 0.7), (0, 1, 0.2), (0, 2, 0.1), (1, 0, 0.3), (1, 1, 0.3), (1, 2, 0.4)]
+    got = {r.id: tuple(r)[1:] for r in topics.dominant(spark.createDataFrame(probs, "id long, topic_id long, prob double"), "id").collect()}
+    assert got == {0: (0, 0.7, 1, 0.2), 1: (2, 0.4, 0, 0.3)}
+    one = topics.dominant(spark.createDataFrame([(0, 0, 1.0)], "id long, topic_id long, prob double"), "id").first()
+    assert tuple(one) == (0, 0, 1.0, 0, 0.0)
+
+
+def keywords(spark, *lists):
+    return spark.createDataFrame([(t, term, w, i + 1) for t, ks in enumerate(lists) for i, (term, w) in enumerate(ks)], "topic_id long, term string, weight double, rank long")
+
+
+RULES = [("X", ["sql", "data base"]), ("Y", ["sql", "query"]), ("Z", ["zeta"])]
+
+
+def test_labels(spark):
+    rules = topics.rule_rows(spark, RULES)
+    kw = keywords(spark, [("sql", 0.5), ("query", 0.2)], [("big data base", 0.3), ("model", 0.2)], [("sql", 0.1), ("model", 0.09), ("tree", 0.01)], [("pi", 0.4), ("rho", 0.3), ("tau", 0.2), ("psi", 0.1)], [("database", 1.0)])
+    best = {r.topic_id: (r.label, r.matches) for r in topics.label_rules(kw, rules).collect()}
+    assert best == {0: ("Y", 2), 1: ("X", 1), 2: ("X", 1)}
+    labels = {r.topic_id: r.label for r in topics.assign_labels(kw, rules).collect()}
+    assert labels == {0: "Y", 1: "X", 2: "X (tree)", 3: "Тема 3: pi, rho, tau", 4: "Тема 4: database"}
+
+
+def test_lift_and_edges(spark):
+    rows = spark.createDataFrame([(0, "a|c")] * 3 + [(1, "b|c")] * 3, "topic_id long, tags string")
+    lift = {(r.topic_id, r.tag): (r.lift, r.rank) for r in topics.tag_lift(rows).collect()}
+    assert lift[0, "a"] == (2.0, 1) and lift[0, "c"] == (1.0, 2)
+    w = spark.createDataFrame([(0, "x", 1.0), (1, "x", 0.6), (1, "y", 0.8), (2, "y", 1.0)], "topic_id long, term string, weight double")
+    edges = {(r.source, r.target): r.weight for r in topics.similarity_edges(w).collect()}
+    assert edges == {(0, 1): 0.6, (1, 2): 0.8}
+    pairs = graph.tag_cooccurrence(spark.createDataFrame([("a|b|a",), ("b|a|c",)], "tags string"))
+    assert {(r.tag_a, r.tag_b): r.n for r in pairs.collect()} == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
+
+
+def test_coherence_prefers_terms_that_meet(spark):
+    terms = spark.createDataFrame([(i, t) for i in range(6) for t in (("a", "b") if i < 3 else ("c",))], "id long, term string")
+    kw = keywords(spark, [("a", 0.5), ("b", 0.4)], [("a", 0.5), ("c", 0.4)])
+    got = {r.topic_id: r.coherence for r in topics.umass(kw, terms, "id").collect()}
+    assert got == pytest.approx({0: math.log(4 / 3), 1: math.log(1 / 3)})
+
+
+def test_digamma():
+    x = np.array([0.1, 1.0, 2.5, 30.0])
+    assert topics._digamma(x) == pytest.approx([-10.4237549404, -0.5772156649, 0.7031566406, 3.3844381325], abs=1e-8)
+
+
+THEMES = ["sql query join table index database schema", "neural network layer tensor training gradient deep", "career salary resume interview mentor portfolio job"]
+
+
+@pytest.fixture(scope="module")
+def articles(spark):
+    rows = []
+    for i in range(18):
+        words = THEMES[i % 3].split()
+        k = i // 3
+        rows.append((i, " ".join(words[k:] + words[:k]), f"https://x.test/blog/post-{i}", "2026-01-01", "Tester", ["SQL", "Deep", "Careers"][i % 3], " ".join(words * 2), "2026-01-02"))
+    return clean.clean(spark.createDataFrame(rows, ["row_ord", *clean.RAW])).cache()
+
+
+def test_topics_end_to_end(spark, articles):
+    run = lambda ks=[2]: pipelines.model_topics(articles, ks, rounds=2, max_df=0.9)
+    done = run([2, 3])
+    p = done.payload
+    pipelines.validate_topics(p)
+    assert p["n_documents"] == 18 and p["settings"]["min_df"] == 1 and [s["n_topics"] for s in p["selection"]] == [2, 3]
+    assert all(m[i] == 1.0 for i, m in enumerate(p["similarity"]["matrix"]))
+    assert done.articles.count() == 18 and done.articles.where("topic_label IS NULL").isEmpty()
+    assert "# Topic model" in pipelines.topics_report(p)
+    assert run().payload == run().payload
+
+
+def test_feasible_numbers_of_topics(spark, articles):
+    with pytest.raises(ValueError):
+        pipelines.model_topics(articles, [1, 99])
+    with pytest.raises(ValueError):
+        pipelines.model_topics(articles, [2], kind="other")
+    assert topics.best_score([{"n_topics": 2, "coherence_umass": float("nan"), "perplexity": 5.0}, {"n_topics": 3, "coherence_umass": float("nan"), "perplexity": 4.0}])["n_topics"] == 3
