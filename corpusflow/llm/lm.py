@@ -17,18 +17,16 @@ counts are 0; repeated rows are scored (and counted) each for itself; other colu
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes
-from .vec import BASE, Words, mix
+from .vec import BASE, Words, mix, prefix_sums, span_hashes
 
 #: Bytes of text in a block; blocks and parts grow in number with the corpus.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 #: Share of the bigram in the interpolation.
 SHARE = 0.5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -38,7 +36,7 @@ class Block:
     """Tokens of some documents: distinct words and bigrams by part and hash, and where each token's stand among them."""
 
     def __init__(self, texts: list[bytes], parts: int):
-        hashes, sizes, checks = [], [], {}
+        hashes, sizes, known, checks = [], [], [], []
         at, limit = 0, 2 << 20
         while at < len(texts):
             end, total = at, 0
@@ -54,10 +52,8 @@ class Block:
             hashes.append(out)
             sizes.append(counts + 1)
             own, first = np.unique(words.hashes, return_index=True)
-            raw = words.buffer.tobytes().translate(_LOWER)
-            for h, a, b in zip(own.tolist(), words.starts[first].tolist(), words.ends[first].tolist()):
-                if h not in checks:
-                    checks[h] = zlib.crc32(raw[a:b])
+            known.append(own)
+            checks.append((span_hashes(prefix_sums(words.buffer, 1), words.starts[first], words.ends[first]) >> np.uint64(32)).astype(np.uint32))
             at = end
         self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         tokens = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -68,7 +64,8 @@ class Block:
         self.first, self.parts = first, parts
         self.words, self.word = self._ordered(tokens)
         self.bigrams, self.bigram = self._ordered(mix(before * np.uint64(BASE) + tokens))
-        self.checks = np.fromiter((checks.get(h, 0) for h in self.words.tolist()), np.uint32, len(self.words))
+        names, at = np.unique(np.concatenate([*known, np.array([END])]), return_index=True)
+        self.checks = np.concatenate([*checks, np.zeros(1, np.uint32)])[at][np.searchsorted(names, self.words)]
 
     def _ordered(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own, index = np.unique(keys, return_inverse=True)
@@ -91,9 +88,6 @@ class Block:
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "part", "block", "keys", "checks", "counts"])
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
 def _packed(counts: np.ndarray) -> bytes:
     return np.uint32(len(counts)).tobytes() + pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
 
@@ -128,6 +122,9 @@ def answers(table: pa.Table) -> pa.Table:
 
 
 def totals(table: pa.Table) -> pa.Table:
+    """Training tokens and distinct words of a part, 0 for bigrams."""
+    if table.column("kind")[0].as_py():
+        return pa.table({"n": pa.array([0], pa.int64()), "v": pa.array([0], pa.int64())})
     total, _, _ = _summed(table)
     return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "v": pa.array([int((total > 0).sum())], pa.int64())})
 
@@ -169,7 +166,8 @@ def score(docs: DataFrame, training: Column, share: float = SHARE) -> DataFrame:
         return Block(load(table), parts).requests(key[0].as_py(), table.column("training").to_numpy())
 
     requests = dealt.groupBy("block").applyInArrow(ask, "kind int, part int, block int, keys binary, checks binary, counts binary").repartition(parts, "kind", "part")
-    known = requests.where("kind = 0").groupBy("kind", "part").applyInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    # no filter here: the shuffled requests are used by both then
+    known = requests.groupBy("kind", "part").applyInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     answered = requests.groupBy("kind", "part").applyInArrow(answers, "block int, kind int, part int, counts binary")
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -20,10 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _bytes() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _bytes(family: int = 0) -> np.ndarray:
     """A random number for each byte; A-Z have those of a-z."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE) + np.uint64(family))
     table[65:91] = table[97:123]
     return table
 
@@ -42,11 +42,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def prefix_sums(buffer: np.ndarray) -> np.ndarray:
-    """Sums of byte hashes times powers; span_hashes() takes any span's hash from them."""
+def prefix_sums(buffer: np.ndarray, family: int = 0) -> np.ndarray:
+    """Sums of byte hashes times powers; span_hashes() takes any span's hash from them. Families are independent."""
     up, _ = powers(len(buffer) + 1)
     out = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_bytes()[buffer] * up[: len(buffer)], out=out[1:])
+    np.cumsum(_bytes(family)[buffer] * up[: len(buffer)], out=out[1:])
     return out
 
 
