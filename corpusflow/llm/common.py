@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,3 +57,13 @@ def pieces(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) ->
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task, since Spark keeps its Python workers for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

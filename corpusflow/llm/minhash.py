@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, pieces, release
 from .graph import connected
 from .vec import Words, mix, shingles
 
@@ -109,6 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             else:
                 columns += [pa.nulls(len(n), pa.int64())] * 2 + [pa.nulls(len(n), pa.list_(pa.int64()))] + [pa.nulls(len(n), pa.int64())] * len(ODD + WHOLE)
             yield pa.record_batch(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", *ODD, *WHOLE])
+        release()
 
     odd = ", ".join(f"{x} long" for x in ODD + WHOLE)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {odd}")

@@ -160,7 +160,9 @@ def means(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(texts: list[str | None], good: np.ndarray) -> dict:
     if not len(texts) or good.all() or not good.any():
         return {"w": [0.0] * FEATURES, "move": [0.0] * 4, "slope": 0.0, "cut": 0.5, "prior": 0.5}
-    own, size, first = line_features([(x or "").encode() for x in texts])
+    parts = [line_features([(x or "").encode() for x in texts[i : i + 100]]) for i in range(0, len(texts), 100)]  # few at a time, for memory
+    own, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     features = with_neighbours(own, first)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     within = np.arange(len(doc)) - first[doc]
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 2500) -> dict:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values(["doc_id"], kind="stable")
         yield pd.DataFrame({"model": [json.dumps(train([x if isinstance(x, str) else None for x in rows["text"]], rows["label"].to_numpy() == 1))]})
 
-    return json.loads(labelled(docs, labels, "quality", keep, sample).repartition(1).mapInPandas(run, "model string").first()[0])
+    found = labelled(docs, labels, "quality", keep, sample).repartition(1).mapInPandas(run, "model string").first()
+    return json.loads(found[0]) if found else train([], np.zeros(0, bool))
 
 
 def score(docs: DataFrame, model: dict, at_least: float = CUT) -> DataFrame:

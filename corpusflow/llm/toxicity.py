@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, release
 from .vec import Words, mix, shingles
 
 #: A seed of common insults.
@@ -103,14 +104,19 @@ def votes(found: list[set[str]], dense: np.ndarray, lexicon: dict[str, float]) -
 class LabelModel:
     """P(label) and P(vote | label, vote of the voter's parent in a tree), fitted by expectation maximization."""
 
-    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 12, least: float = 0.02):
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 16, least: float = 0.02):
         self.votes = votes + 1
         self.parent = np.full(votes.shape[1], -1)
-        start = votes[:, : GROUPS + 1].astype(float)
-        self.posterior = np.where((start[:, :GROUPS].sum(1) + start[:, GROUPS]) > 0, 0.95, 0.05)
+        start = votes[:, : GROUPS + 1].astype(np.float32)
+        # a majority to begin with, in which voters that (nearly) always agree have one vote between them
+        voted = np.abs(start)
+        agree = (start.T @ start + voted.T @ voted) / 2
+        either = voted.sum(0)[:, None] + voted.sum(0)[None, :] - voted.T @ voted
+        alike = (agree >= 0.98 * np.maximum(either, 1)).sum(1)
+        self.posterior = np.where(start @ (1 / np.maximum(alike, 1)) > 0, 0.95, 0.05)
         self.prior = prior
         for i in range(rounds):
-            if i == rounds // 2:
+            if i in (1, rounds // 2):  # early, so that voters that copy one another don't decide together what is true
                 self._correlate(least)
             self._fit()
 
@@ -131,6 +137,7 @@ class LabelModel:
     def _correlate(self, least: float) -> None:
         """A maximum spanning forest over the voters' mutual information given the label."""
         k = self.votes.shape[1]
+        self.parent[:] = -1
         info = np.zeros((k, k))
         for weights in (1 - self.posterior, self.posterior):
             total = weights.sum() + 1e-9
@@ -171,15 +178,15 @@ def unlike(texts: list[str | None]) -> list[int]:
     """Places of texts that are no copies of earlier ones, by four minimum hashes of their three-word shingles: words that only copies repeat are no evidence."""
     seen: set[tuple[int, int]] = set()
     out = []
-    words = Words([(x or "").encode() for x in texts])
-    own, first = shingles(words, 3)
     salts = mix(np.arange(1, 5, dtype=np.uint64))
-    for i in range(len(texts)):
-        part = own[first[i] : first[i + 1]]
-        keys = {(k, int(mix(part ^ salt).min())) for k, salt in enumerate(salts)} if len(part) else set()
-        if not keys & seen:
-            out.append(i)
-        seen |= keys
+    for begin in range(0, len(texts), 100):  # few at a time, for memory
+        own, first = shingles(Words([(x or "").encode() for x in texts[begin : begin + 100]]), 3)
+        for i in range(len(first) - 1):
+            part = own[first[i] : first[i + 1]]
+            keys = {(k, int(mix(part ^ salt).min())) for k, salt in enumerate(salts)} if len(part) else set()
+            if not keys & seen:
+                out.append(begin + i)
+            seen |= keys
     return out
 
 
@@ -199,7 +206,7 @@ def train(texts: list[str | None], toxic: np.ndarray) -> dict:
 
 
 class Scorer:
-    def __init__(self, model: dict, cache: int = 300_000):
+    def __init__(self, model: dict, cache: int = 100_000):
         self.model, self.size, self.hits = model, cache, {}
 
     def score(self, text: str | None) -> float:
@@ -231,8 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 4000) -> dict:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values(["doc_id"], kind="stable")
         yield pd.DataFrame({"model": [json.dumps(train(rows["text"].where(rows["text"].notna(), None).tolist(), rows["label"].to_numpy() == 1))]})
+        release()
 
-    return json.loads(labelled(docs, labels, "toxic", keep, sample).repartition(1).mapInPandas(run, "model string").first()[0])
+    found = labelled(docs, labels, "toxic", keep, sample).repartition(1).mapInPandas(run, "model string").first()
+    return json.loads(found[0]) if found else train([], np.zeros(0, bool))
 
 
 def score(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
@@ -240,8 +249,10 @@ def score(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, 1, 1 << 20):
             yield pa.record_batch([batch.column(0), pa.array([own.score(x) for x in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+        own.hits.clear()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= at_least).cast("int"))
@@ -254,7 +265,9 @@ def reject(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, at, 1 << 20):
             yield batch.filter(pa.array([own.score(x) < at_least for x in batch.column(at).to_pylist()], pa.bool_()))
+        own.hits.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
