@@ -16,6 +16,8 @@ from corpusflow.llm.common import Scratch
 from corpusflow.llm.queries import QUERY_KEY, tokenizer_path
 
 ORACLE_SQL = None
+#: Least similarity, in percent, of near-duplicates on shingles of five words; op3's own contract says 85.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

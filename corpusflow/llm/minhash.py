@@ -33,12 +33,12 @@ from .graph import connected
 from .vec import Words, mix, shingles
 
 SHINGLE, PERCENT = 5, 85
-#: A pair of similarity 0.85 misses all bands with a probability of (1 - 0.85**5)**28 = 8e-8.
+#: A pair of similarity 0.85 misses all bands with a probability of (1 - 0.85**5)**28 = 8e-8, one of 0.8 with 1.5e-5.
 BANDS, ROWS = 28, 5
 #: Bits of the odd sketch, which are held in longs.
 BITS = 512
 ODD = [f"o{i}" for i in range(BITS // 64)]
-#: An estimate so far below the least similarity drops a candidate: five times the estimate's spread there.
+#: An estimate so far below a least similarity of 0.85 drops a candidate: five times the estimate's spread there.
 DOUBT = 0.17
 #: Bits of the odd sketch of the whole set.
 WHOLE_BITS = 1024
@@ -83,8 +83,9 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 
 def most_differing(percent: int) -> int:
-    """Differing bits beyond which the estimate is under the least similarity by more than DOUBT."""
-    return int(BITS / 2 * (1 - np.exp((percent / 100 - DOUBT - 1) * 4 * BANDS * ROWS / BITS)))
+    """Differing bits beyond which the estimate is under the least similarity by more than DOUBT, which grows with the spread there."""
+    doubt = DOUBT * np.sqrt(percent * (100 - percent) / (PERCENT * (100 - PERCENT)))
+    return int(BITS / 2 * (1 - np.exp((percent / 100 - doubt - 1) * 4 * BANDS * ROWS / BITS)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:

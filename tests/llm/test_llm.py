@@ -537,3 +537,22 @@ def test_pipeline_stages(spark):
         before = after
     assert before.count() > 0.5 * docs.count()
     assert before.where("n_tokens <> size(ids)").isEmpty()
+
+
+def test_pipeline_drops_near_duplicates_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    r = random.Random(82)
+    text = [f"w{r.randrange(10**9)}" for _ in range(504)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    similarity = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    near, far = [*text], [*text]
+    for i in range(10):
+        near[20 + 45 * i] = f"n{i}"
+    for i in range(18):
+        far[15 + 27 * i] = f"f{i}"
+    assert 0.81 < similarity(text, near) < 0.83 and similarity(text, far) < 0.75 and similarity(near, far) < 0.75
+    docs = table(spark, [(i, " ".join(w)) for i, w in ((1, text), (2, near), (3, far))])
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    # op3 keeps its own threshold
+    assert sorted(x.doc_id for x in minhash.keep_first(docs).collect()) == [1, 2, 3]
