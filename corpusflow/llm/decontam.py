@@ -100,7 +100,8 @@ def matches(index: Index) -> DataFrame:
     rows, scratch = ranked(index), index.scratch
     first, second = _shifted(index, rows.where("rarity = 1")), _shifted(index, rows.where("rarity = 2"))
     both = first.hint("shuffle_hash").join(second.select("window", "doc_id", "start"), ["window", "doc_id", "start"], "left_semi")
-    left = scratch.table(both.unionByName(first.where("n = 1")), "left")
+    # rows that repeat an id with their text give each start again; the counts below are of different ones
+    left = scratch.table(both.distinct().unionByName(first.where("n = 1").distinct()), "left")
 
     documents = scratch.table(left.where("n > 2").select("doc_id").distinct(), "candidates")
     narrowed = index.postings.join(bounded(documents, documents.count(), 16), "doc_id", "left_semi")

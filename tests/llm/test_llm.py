@@ -468,6 +468,18 @@ def test_decontamination_against_brute_force(spark, empty):
     assert sorted(x.doc_id for x in clean.collect()) == [1, 2, 4, 9]
 
 
+def test_decontamination_of_repeated_rows(spark):
+    text = words(40, 41)
+    items = [(1, " ".join(text)), (2, "one two three"), (3, "é!")]
+    rows = [(1, "x " + " ".join(text[5:20])), (2, "one two three"), (3, " ".join(words(50, 42))), (4, "é")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    twice = table(spark, [*rows, *rows, rows[0]])
+    want = brute_report([*rows, *rows, rows[0]], items)
+    assert sum(x[-1] for x in want) == 7
+    assert sorted(tuple(x) for x in decontam.digests(twice, benchmark).collect()) == want
+    assert [x.doc_id for x in decontam.drop_contaminated(twice, benchmark).collect()] == [3, 3]
+
+
 def test_decontamination_beyond_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     text = words(30, 31)
