@@ -4,8 +4,9 @@ import json
 
 import pytest
 
-from corpusflow.operators import html
-from corpusflow.sources import web
+from corpusflow.operators import clean, html
+from corpusflow.plans import pipelines
+from corpusflow.sources import files, web
 
 URL = "https://x.test/blog/post"
 STATE = {"props": {"pageProps": {"page": {"title": "State title", "slug": "post", "category": {"tag": "AI"}, "subCategories": [{"tag": "LLM"}, "Tools"], "author": {"fullName": "Ann"}}}}}
@@ -95,3 +96,14 @@ def test_robots_and_retries():
 def test_listing_urls(spark):
     got = [r.url for r in web.listing_urls(spark, "https://x.test", 3).orderBy("page").collect()]
     assert got == ["https://x.test/blog", "https://x.test/blog?page=2", "https://x.test/blog?page=3"]
+
+
+def test_crawl_merges_pages_with_earlier_rows(spark, tmp_path):
+    old = [(f"{URL}{i}", f"Old {i}", "2020-01-0" + str(i + 1), "Ann", "x|y", "Text.", "2026-01-01") for i in (1, 2)]
+    before = spark.createDataFrame(old, "url string, title string, published_date string, author string, tags string, excerpt string, scraped_at string")
+    files.write_csv(before.select(*clean.RAW), str(tmp_path / "before"), single=True)
+    fresh = spark.createDataFrame([(f"{URL}{i}", page(None, ld(POST))) for i in (0, 1)], "url string, html string")
+    got = pipelines.crawl(spark, fresh, str(tmp_path / "before"), "2026-08-16").persist()
+    pipelines.validate_raw(got)
+    assert [(r.url, r.title, r.scraped_at) for r in got.collect()] == [(f"{URL}1", "LD title", "2026-08-16"), (f"{URL}0", "LD title", "2026-08-16"), (f"{URL}2", "Old 2", "2026-01-01")]
+    assert pipelines.crawl(spark, fresh, str(tmp_path / "none"), "2026-08-16").count() == 2
