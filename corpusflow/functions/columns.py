@@ -32,9 +32,15 @@ def split_keywords(c: Column) -> Column:
 
 
 def dedupe_ci(a: Column) -> Column:
-    """First of entries that differ in case only; empty ones go."""
-    low = F.transform(a, F.lower)
-    return F.filter(a, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
+    """First of entries that differ in case only; empty ones go.
+
+    By two sorts, so that an array may be as long as a text: equal entries stand together, the first in front.
+    """
+    placed = F.sort_array(F.transform(a, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    # as the only entry of an array, the sorted one is made once and not for each of its entries
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda e, i: (e["x"] != "") & ((i == 0) | ~F.get(s, i - 1)["low"].eqNullSafe(e["low"]))))
+    back = F.sort_array(F.transform(F.get(firsts, F.lit(0)), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(back, lambda e: e["x"])
 
 
 def limit_tags(a: Column, most: int = lexicon.MAX_TAGS, no_tags: Sequence[str] = lexicon.NO_TAGS) -> Column:

@@ -323,6 +323,25 @@ def limit_tags(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(C.limit_tags(words), "|").alias("tags"))
 
 
+_FIRSTS = r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), c AS (SELECT doc_id, i, {0} AS x FROM w),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS r FROM c WHERE x <> '') WHERE r = 1)"""
+
+
+@query(f"{_FIRSTS.format('x')} SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(words, '') END AS words FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) USING (doc_id)")
+def dedupe_ci_whole(spark, d):
+    """All words of each text, where dedupe_ci takes 40."""
+    return documents(spark, d).select("doc_id", F.array_join(C.dedupe_ci(F.split("text", " ")), " ").alias("words"))
+
+
+_CLEANED = r"trim(regexp_replace(x, '[\s\x{85}\x{A0}]+', ' ', 'g'))"
+
+
+@query(f"{_FIRSTS.format(_CLEANED)} SELECT d.doc_id, coalesce(tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN count(*) <= 12 THEN string_agg(x, '|' ORDER BY i) ELSE '' END AS tags FROM f WHERE NOT list_contains({_NO_TAGS}, lower(x)) GROUP BY doc_id) USING (doc_id)")
+def limit_tags_whole(spark, d):
+    """All words of each text, where limit_tags takes 20 at most."""
+    return documents(spark, d).select("doc_id", F.array_join(C.limit_tags(F.split("text", " ")), "|").alias("tags"))
+
+
 @query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s*,\s*'), lambda x: x <> ''), '|') AS keywords FROM documents")
 def split_keywords(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(C.split_keywords(F.col("text")), "|").alias("keywords"))

@@ -114,6 +114,24 @@ def test_tags(spark):
     assert [r[0] for r in limited] == [["a b", "c"], []]
 
 
+def test_dedupe_ci_takes_whole_texts(spark, tmp_path):
+    from corpusflow import queries
+
+    def brute(text):
+        seen = set()
+        return " ".join(w for w in text.split(" ") if w and not (w.lower() in seen or seen.add(w.lower())))
+
+    texts = [(1, " ".join(f"{'W' if i % 3 else 'w'}{i * 7919 % 6007}" for i in range(20000))), (2, "a A  b " * 30 + "late Late"), (3, ""), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.words for r in queries.QUERIES["dedupe_ci_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in texts}
+    assert got[2] == "a b late" and len(got[1].split(" ")) == 6007
+    tags = {r.doc_id: r.tags for r in queries.QUERIES["limit_tags_whole"](spark, str(tmp_path)).collect()}
+    assert tags == {1: "", 2: "a|b|late", 3: "", 4: ""}
+    some = spark.createDataFrame([(["b", None, "B", "", None, "a"],), ([],)], "a array<string>").select(C.dedupe_ci(F.col("a"))).collect()
+    assert [r[0] for r in some] == [["b", "a"], []]
+
+
 def test_urls(spark):
     urls = ["HTTPS://X.test/Blog/Post/?q=1#f", "https://x.test", "ftp://x.test/a", None]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select(C.canonical_url(F.col("u"))).collect()
