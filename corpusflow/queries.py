@@ -192,6 +192,18 @@ def upsert_merge(spark, d):
     return merge.sorted_raw(merge.upsert(rows.where("row_ord % 2 = 0"), rows.where("row_ord % 4 = 0").withColumn("title", F.concat(F.lit("new "), "title"))))
 
 
+#: Every third URL of the fresh side is one that only this side has.
+_FRESH_URL = "CASE WHEN row_ord % 3 = 0 AND url <> '' THEN concat(url, '-new') ELSE url END"
+
+
+@query(f"""{WITH_RAW}, sides AS (SELECT *, 0 AS side FROM art UNION ALL SELECT * REPLACE ('new ' || title AS title, {_FRESH_URL} AS url), 1 AS side FROM art)
+SELECT * EXCLUDE (side, k) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY side DESC, row_ord DESC) AS k FROM sides WHERE url <> '') WHERE k = 1""")
+def upsert_merge_whole(spark, d):
+    """All rows on both sides, where upsert_merge has the even ones: URLs of both sides, of the earlier and of the fresh one only."""
+    rows = raw(spark, d)
+    return merge.sorted_raw(merge.upsert(rows, rows.withColumn("title", F.concat(F.lit("new "), "title")).withColumn("url", F.expr(_FRESH_URL))))
+
+
 @query("SELECT i AS page, CASE WHEN i <= 1 THEN 'https://www.example.com/blog' ELSE 'https://www.example.com/blog?page=' || CAST(i AS VARCHAR) END AS url FROM range(1, 21) AS t(i)")
 def listing_urls(spark, d):
     return web.listing_urls(spark, "https://www.example.com", 20)

@@ -151,6 +151,19 @@ def test_upsert_and_first_seen(spark):
     assert {r.url for r in merge.unseen(links, links.where("url = 'a'")).collect()} == {"b", "c"}
 
 
+def test_upsert_of_all_rows(spark):
+    from corpusflow import queries
+
+    d = "/root/testdata/sf0.001"
+    urls = {r.url for r in queries.raw(spark, d).collect()}
+    got = {r.url: r for r in queries.QUERIES["upsert_merge_whole"](spark, d).collect()}
+    assert urls <= set(got) and any(r.row_ord % 2 for r in got.values())
+    only = {u for u in got if u.endswith("-new")}
+    assert only and {u.removesuffix("-new") for u in only} <= urls and set(got) == urls | only
+    assert all(got[u].title.startswith("new ") for u in only)
+    assert {r.title.startswith("new ") for u, r in got.items() if u in urls} == {True, False}
+
+
 def test_upsert_stream(spark, tmp_path):
     from corpusflow.streaming import upserts
 
