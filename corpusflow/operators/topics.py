@@ -215,6 +215,12 @@ def infer_lda(vectors: DataFrame, lam: np.ndarray, key: str) -> DataFrame:
     return vectors.select(key, "ids", "weights").mapInPandas(run, f"{key} {kind}, topic_id long, prob double")
 
 
+def uniform(docs: DataFrame, vectors: DataFrame, k: int, key: str) -> DataFrame:
+    """key, topic_id, prob of the documents that have no known term: all topics are equal."""
+    bare = docs.select(key).distinct().join(vectors.select(key), key, "left_anti")
+    return bare.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("topic_id"), F.lit(1.0 / k).alias("prob"))
+
+
 def perplexity(vectors: DataFrame, lam: np.ndarray) -> float:
     """exp of minus the mean log-likelihood of a token under the documents' own topics."""
     beta, k = _expectation(lam), len(lam)

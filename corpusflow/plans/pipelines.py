@@ -71,9 +71,7 @@ def model_topics(articles: DataFrame, candidates: list[int], stopwords: list[str
     tw = topics.topic_weights(spark, lam, names).persist()
     keywords = topics.top_terms(tw).persist()
     found = topics.infer_lda(vectors, lam, "url")
-    # articles without any known term have no topic of their own: all are equal
-    bare = docs.select("url").join(vectors.select("url"), "url", "left_anti").select("url", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(lam) - 1).cast("long"))).alias("topic_id"), F.lit(1.0 / len(lam)).alias("prob"))
-    assigned = topics.dominant(found.unionByName(bare), "url").persist()
+    assigned = topics.dominant(found.unionByName(topics.uniform(docs, vectors, len(lam), "url")), "url").persist()
     labels = topics.assign_labels(keywords, topics.rule_rows(spark, rules)).persist()
     enriched = topics.articles_with_topics(articles, assigned, labels, keywords, "url").persist()
     settings = {"input": source, "library": "corpusflow", "algorithm": "lda", "vectorizer": kind, "ngram_range": [1, 2], "min_df": text.least_df(n, min_df), "max_df": max_df, "max_features": max_features, "n_features": len(names), "random_state": seed, "max_iter": rounds, "candidates": candidates}

@@ -618,19 +618,20 @@ def _vectors(spark, d) -> tuple[DataFrame, list[str], int]:
 @query()
 def lda_topics(spark, d):
     vectors, names, _ = _vectors(spark, d)
-    lam = topics.fit_lda(vectors.cache(), 8, len(names), rounds=5)
+    lam = topics.fit_lda(vectors.cache(), 8, len(names))
     return topics.top_terms(topics.topic_weights(spark, lam, names))
 
 
 @query()
 def lda_doc_topics(spark, d):
     vectors, names, _ = _vectors(spark, d)
-    lam = topics.fit_lda(vectors.cache(), 8, len(names), rounds=5)
-    return topics.dominant(topics.infer_lda(vectors, lam, "doc_id"), "doc_id")
+    lam = topics.fit_lda(vectors.cache(), 8, len(names))
+    found = topics.infer_lda(vectors, lam, "doc_id")
+    return topics.dominant(found.unionByName(topics.uniform(documents(spark, d), vectors, len(lam), "doc_id")), "doc_id")
 
 
 @query()
 def select_n_topics(spark, d):
     vectors, names, n = _vectors(spark, d)
-    scores, _ = topics.select_topics(vectors.cache(), terms_of(spark, d), names, [4, 8], "doc_id", n, rounds=3)
+    scores, _ = topics.select_topics(vectors.cache(), terms_of(spark, d), names, list(range(8, 23, 2)), "doc_id", n)
     return spark.createDataFrame([(s["n_topics"], s["coherence_umass"], s["perplexity"]) for s in scores], "n_topics int, coherence_umass double, perplexity double")

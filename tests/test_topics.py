@@ -143,3 +143,25 @@ def test_feasible_numbers_of_topics(spark, articles):
     with pytest.raises(ValueError):
         pipelines.model_topics(articles, [2], kind="other")
     assert topics.best_score([{"n_topics": 2, "coherence_umass": float("nan"), "perplexity": 5.0}, {"n_topics": 3, "coherence_umass": float("nan"), "perplexity": 4.0}])["n_topics"] == 3
+
+
+def test_registered_models_run_the_whole_fit(spark, tmp_path, monkeypatch):
+    from corpusflow import queries
+
+    texts = [(i, " ".join(THEMES[i % 3].split() * 2)) for i in range(30)] + [(30, None), (31, ""), (32, "the of and"), (33, "zzzz")]
+    texts += [(i, "zzz" + chr(97 + i - 34)) for i in range(34, 54)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fits = []
+
+    def fit(vectors, k, n_terms, rounds=25, seed=42):
+        fits.append((k, rounds))
+        return np.random.default_rng(seed).gamma(100.0, 0.01, (k, n_terms))
+
+    monkeypatch.setattr(topics, "fit_lda", fit)
+    assert queries.QUERIES["lda_topics"](spark, str(tmp_path)).count() > 0
+    got = {r.doc_id: r for r in queries.QUERIES["lda_doc_topics"](spark, str(tmp_path)).collect()}
+    assert fits == [(8, 25), (8, 25)] and set(got) == {i for i, _ in texts}
+    assert all((got[i].topic_id, got[i].topic_prob, got[i].topic_second_id) == (0, 0.125, 1) for i in (30, 31, 32, 33))
+    fits.clear()
+    scores = queries.QUERIES["select_n_topics"](spark, str(tmp_path)).collect()
+    assert fits == [(k, 25) for k in range(8, 23, 2)] and [r.n_topics for r in scores] == [k for k, _ in fits]
