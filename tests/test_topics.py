@@ -89,6 +89,15 @@ def test_labels(spark):
     assert labels == {0: "Y", 1: "X", 2: "X (tree)", 3: "Тема 3: pi, rho, tau", 4: "Тема 4: database"}
 
 
+def test_default_label_rules(spark):
+    """Names and triggers that the reference's catalogue has beyond ten a label."""
+    assert len(lexicon.LABEL_RULES) == 19 and sum(len(t) for _, t in lexicon.LABEL_RULES) == 268
+    rules = topics.rule_rows(spark, lexicon.LABEL_RULES)
+    kw = keywords(spark, [("claude", 0.5), ("vs", 0.2)], [("kubernetes", 0.3), ("airflow", 0.2)], [("jupyter", 0.1)], [("portfolio", 0.4)], [("token", 0.4)])
+    got = {r.topic_id: r.label for r in topics.assign_labels(kw, rules).collect()}
+    assert got == {0: "Порівняння AI-моделей", 1: "Хмарні платформи та Data Engineering", 2: "Python: мова та бібліотеки", 3: "Кар'єра та навчання в Data Science", 4: "Великі мовні моделі та генеративний AI"}
+
+
 def test_lift_and_edges(spark):
     rows = spark.createDataFrame([(0, "a|c")] * 3 + [(1, "b|c")] * 3, "topic_id long, tags string")
     lift = {(r.topic_id, r.tag): (r.lift, r.rank) for r in topics.tag_lift(rows).collect()}
