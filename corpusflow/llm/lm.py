@@ -3,13 +3,15 @@
 Model: word bigrams, smoothed by interpolation with the unigrams of the base score, both from all training documents.
 As an automaton, a state is the word before (or the start), an arc of a state reads a word that followed it in
 training, and every state has a failure arc to the unigram state, whose weight is what interpolation leaves for it.
-One traversal of a text from left to right carries the state along and adds up the log-probabilities of what it takes.
+Scores are those of a traversal of a text from left to right. With bigrams, the state before a token is the word
+before it, so that no states or arcs are built: each position is evaluated by itself, by the arc where the bigram is
+known, else by the failure arc and the unigram, and documents are sums. There is one level of failure, and higher
+orders don't fit in.
 
 The counts grow with the corpus and are never held in one place. Documents are dealt into blocks by a hash. A block
 asks for the counts of its distinct words and bigrams and brings its own training counts along, as sorted arrays of
 hashes, one for each part of the hash's range; a part adds up what all blocks brought and answers each in the order it
-asked; with the answers, the block builds the part of the automaton that its own documents can reach, and traverses
-them. A frequent word thus costs one entry for each block. Words are known by 96 bits of hash and bigrams by 64.
+asked; with the answers, the block evaluates its own documents. A frequent word thus costs one entry for each block. Words are known by 96 bits of hash and bigrams by 64.
 
 Defined cases: null, empty and blank texts have just the end token; A-Z count as a-z; without training documents all
 counts are 0; repeated rows are scored (and counted) each for itself; other columns are ignored.
@@ -130,7 +132,7 @@ def totals(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The part of the model that a block reaches: arc and failure weights as log10."""
+    """The bigram automaton at the positions of a block: weights of arcs and failure arcs as log10."""
 
     def __init__(self, block: Block, words: np.ndarray, bigrams: np.ndarray, n: int, v: int, share: float = SHARE):
         self.block, self.count = block, words[block.word]
