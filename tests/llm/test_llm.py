@@ -135,23 +135,76 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert own.text(text) == pii.Pseudonyms(b"k").text(text) != pii.Pseudonyms(b"other").text(text)
 
 
-def test_feistel_is_a_permutation():
+def test_pseudonyms_are_one_to_one_without_fixed_points():
+    for key in range(50):
+        own = pii.Pseudonyms(str(key).encode())
+        for n in (1, 2, 3, 7, 10, 97):
+            out = [own.moved("x", i, n) for i in range(n)]
+            assert sorted(out) == list(range(n)) and (n == 1 or all(a != b for a, b in enumerate(out)))
+            assert [own.moved("x", x, n, back=True) for x in out] == list(range(n))
+    own = pii.Pseudonyms(b"a key for these queries")
+    days = range(pii.FIRST_DAY, pii.LAST_DAY + 1)
+    assert sorted(map(own.day, days)) == list(days)
+    far = [*range(1, 2000), *range(pii.ALL_DAYS - 2000, pii.ALL_DAYS + 1)]
+    assert len(set(map(own.day, far))) == len(far) and not set(map(own.day, far)) & set(days)
+
+
+def test_pseudonyms_link_numbers_however_written():
     own = pii.Pseudonyms(b"k")
-    for n in (2, 7, 100, 1000):
-        assert sorted(own.permute("x", i, n) for i in range(n)) == list(range(n))
+    plain = lambda x: re.sub("[^0-9]", "", own.text(x)[0])
+    assert plain("(555) 123-4567") == plain("555-123-4567") == plain("555.123.4567") != "5551234567"
+    assert plain("4111 1111 1111 1111") == plain("4111-1111-1111-1111")
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["1899-05-04", "1850-01-02", "x" * 80 + "@example.org", "password = correcthorse", "token: 'abcdefgh'", "2001:db8::7334", "xoxb-1234567890-abcdefghij", "ghp_" + "aB3" * 12, "AIza" + "b7_" * 11 + "cd", "0001-01-01", "9999-12-31"],
+)
+def test_pseudonyms_of_every_kind(value):
+    own = pii.Pseudonyms(b"k")
+    new, n = own.text(f"so {value} there")
+    assert n == 1 and value not in new and new.startswith("so ") and new.endswith(" there")
+    assert own.text(new)[1] == 1
 
 
 def test_what_fails_its_check_stays():
     own = pii.Pseudonyms(b"k")
-    for text in ("version 2.0.", "4111111111111112", "999.1.1.1", "2024-13-45", "a 5-word text in 1999", None, ""):
+    for text in ("version 2.0.", "4111111111111112", "999.1.1.1", "2024-13-45", "a 5-word text in 1999", "the secret: nobody knows", "std::vector at 12:30:45", "@ a@b x@@y.org", "666-12-3456", None, ""):
         assert own.text(text) == (text, 0)
 
 
-def test_pseudonyms_over_a_table(docs, rows, empty):
+def brute_pseudonyms(own, text):
+    """Each pattern at each place, without looking for marks or beginnings first."""
+    out, at, n = "", 0, 0
+    while at < len(text):
+        hit = None
+        if at == 0 or not re.match("[A-Za-z0-9]", text[at - 1]):
+            for kind, pattern in pii.COMPILED.items():
+                end = text.find("\n", at)
+                found = pattern.match(text, at, len(text) if end < 0 else end)
+                hit = (found[0], own.value(kind, found)) if found else None
+                if hit and hit[1] is not None:
+                    break
+                hit = None
+        out, at, n = (out + hit[1], at + len(hit[0]), n + 1) if hit else (out + text[at], at + 1, n)
+    return out, n
+
+
+def test_pseudonyms_of_real_tables_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymize(spark.createDataFrame(rows), queries.QUERY_KEY).collect()}
+    own = pii.Pseudonyms(queries.QUERY_KEY)
+    assert got == {r.doc_id: brute_pseudonyms(own, r.text) for r in rows}
+    assert sum(n for _, n in got.values()) > 10
+
+
+def test_pseudonyms_over_a_table(spark, docs, rows, empty):
     done = pii.pseudonymize(docs, b"k")
     assert done.columns == [*docs.columns, "n_pii"]
     assert sorted((r.doc_id, r.text or "") for r in done.collect()) == sorted((i, t or "") for i, t in rows)
     assert pii.pseudonymize(empty, b"k").collect() == []
+    clash = spark.createDataFrame([(1, "on 2020-01-02", "mine"), (2, None, None)], "n_pii long, text string, other string")
+    assert sorted((r.n_pii, r.other) for r in pii.pseudonymize(clash, b"k").collect()) == [(0, None), (1, "mine")]
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
