@@ -33,8 +33,9 @@ QUERY_KEY = b"a key for these queries"
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six decimals, so that sums in any order give the same value."""
     scored = lm.score(_documents(spark, sf_dir), training=_remainder(7) != 2)
-    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding": op9_embedding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op9_embedding": embed.COMPONENTS_SQL, "op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
+ORACLES: dict[str, str] = {"op1_lm": lm.SCORE_SQL, "op9_embedding": embed.COMPONENTS_SQL, "op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}

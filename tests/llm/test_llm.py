@@ -72,44 +72,71 @@ def lower(text):
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [24 << 20, 20_000])
-def test_language_model_against_brute_force(spark, docs, rows, monkeypatch, block):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
-    training = {i for i, _ in rows if i % 3}
-    got = sorted(tuple(r) for r in lm.score(docs, F.col("doc_id") % 3 != 0).collect())
+def brute_language_model(rows, training, pair=lm.PAIR, triple=lm.TRIPLE):
+    """The smoothed probabilities by their definition, from counts of whole histories."""
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]) for i, t in rows]
-    one, two, context = Counter(), Counter(), Counter()
+    count, context = Counter(), Counter()
     for i, w in tokens:
         if i in training:
-            one.update(w)
-            two.update(zip(["<", *w], w))
-            context.update(["<", *w[:-1]])
-    n, v = sum(one.values()), len(one)
-    want = []
+            for k, x in enumerate(w):
+                for n in range(3):
+                    history = ("<", *w)[max(0, k + 1 - n) : k + 1]
+                    if len(history) == n:
+                        count[*history, x] += 1
+                        context[history] += 1
+    n, v = context[()], sum(len(k) == 1 for k in count)
+
+    def p(x, history):
+        if not history:
+            return (count[x,] + 1) / (n + v + 1)
+        prior = pair if len(history) == 1 else triple
+        return (count[*history, x] + prior * p(x, history[1:])) / (context[history] + prior)
+
+    out = []
     for i, w in tokens:
-        base = [(one[x] + 1) / (n + v + 1) for x in w]
-        step = [0.5 * two[p, x] / context[p] + 0.5 * b if two[p, x] else b * (0.5 if context[p] else 1) for p, x, b in zip(["<", *w], w, base)]
-        want.append((i, i in training, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, base)), sum(map(math.log10, step))))
-    for g, w in zip(got, sorted(want)):
-        assert g[:5] == w[:5]
-        assert g[5:] == pytest.approx(w[5:], abs=1e-6)
+        told = [math.log10(p(x, ("<", *w)[max(0, k - 1) : k + 1])) for k, x in enumerate(w)]
+        out.append((i, i in training, len(w), sum(count[x,] > 0 for x in w), n, sum(math.log10(p(x, ())) for x in w), sum(told)))
+    return sorted(out)
 
 
-def test_language_model_is_a_distribution(spark):
-    """Over known words, the end and one unknown word, probabilities after any state sum to 1."""
-    block = lm.Block([b"x y", b"x z"], 1)
-    texts = [b"x y", b"x z", b"x x", b"x", b"x unknown"]
-    counts = Counter(["x", "y", "x", "z", None, None])
-    total = lm.Block(texts, 1)
-    word = np.array([0.0] * len(total.words))
-    pair = np.array([0.0] * len(total.bigrams))
-    for keys, out, own in ((block.words, word, total.words), (block.bigrams, pair, total.bigrams)):
-        index = block.word if keys is block.words else block.bigram
-        for k, c in zip(keys, np.bincount(index)):
-            out[own == k] = c
-    scored = lm.Automaton(total, word, pair, sum(counts.values()), len(counts))
-    second = [10 ** scored.step[f + 1] for f in total.first]
-    assert sum(second) == pytest.approx(1)
+@pytest.mark.parametrize(("block", "stretch"), [(24 << 20, 128), (20_000, 2), (20_000, 7)])
+def test_language_model_against_brute_force(spark, docs, rows, monkeypatch, block, stretch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "STRETCH", stretch)
+    training = {i for i, _ in rows if i % 3}
+    # the workers have the constants as they were, so the stretches are tested here
+    got = sorted(tuple(r) for r in lm.score(docs, F.col("doc_id") % 3 != 0).collect())
+    for g, w in zip(got, brute_language_model(rows, training), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:], abs=1e-6)
+    own = lm.Block([(t or "").encode() for _, t in rows])
+    trained = np.repeat([i in training for i, _ in rows], own.sizes)
+    counts = [np.bincount(x[trained & (x >= 0)], minlength=len(k)).astype(float) for k, x in ((own.words, own.word), (own.pairs, own.pair), (own.triples, own.triple))]
+    scores = lm.Automaton(own, *counts, int(counts[0].sum()), int((counts[0] > 0).sum())).traverse()[3]
+    assert sorted(scores) == pytest.approx(sorted(w[6] for w in brute_language_model(rows, training)), abs=1e-6)
+
+
+def test_language_model_states_and_failures():
+    """Every failure arc drops the first word, every arc leads to the state of the last two, and the weights after any state sum to 1."""
+    texts = [b"x y z", b"x z y", b"y z x y", b"z unknown"]
+    own = lm.Block(texts)
+    trained = np.repeat([True, True, True, False], own.sizes)
+    counts = [np.bincount(x[trained & (x >= 0)], minlength=len(k)).astype(float) for k, x in ((own.words, own.word), (own.pairs, own.pair), (own.triples, own.triple))]
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    model = lm.Automaton(own, *counts, n, v)
+    size = len(own.words)
+    pairs = {size + 2 + k: (int(a), int(b)) for k, (a, b) in enumerate(zip(own.left, own.right))}
+    for state, (_, b) in pairs.items():
+        assert model.fail[state] == 1 + b and model.fail[1 + b] == 0
+    for arc, target in zip(model.arcs, model.target):
+        state, word = divmod(int(arc), size)
+        assert pairs[int(target)] == (state - 1 if state < size + 2 else pairs[state][1], word)
+    words = np.arange(size)
+    known = counts[0] > 0
+    for state in [0, model.start, *(1 + words[known]), *(size + 2 + np.flatnonzero(counts[1]))]:
+        weights, _ = model.read(np.full(size, state), words)
+        # all known words, and one unknown word
+        assert (10.0 ** weights[known]).sum() + 10.0 ** weights[~known][0] == pytest.approx(1) or state == 1 + int(np.flatnonzero(own.words == lm.END)[0]) or own.right[state - size - 2] == np.flatnonzero(own.words == lm.END)[0]
 
 
 def test_language_model_empty(empty):
