@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding": op9_embedding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op1_lm": lm.SCORE_SQL, "op9_embedding": embed.COMPONENTS_SQL, "op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}
+ORACLES: dict[str, str] = {"op1_lm": lm.SCORE_SQL, "op6_suffix_array": substrings.DIGESTS_SQL, "op9_embedding": embed.COMPONENTS_SQL, "op3_minhash": minhash.COMPONENTS_SQL, "op7_chat": chat.FORMAT_SQL, "op8_decontamination": decontam.REPORT_SQL}

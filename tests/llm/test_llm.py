@@ -475,9 +475,7 @@ def brute_removed(rows, length=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("heavy", [20_000, 1])
-def test_substrings_against_brute_force(spark, monkeypatch, heavy):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+def test_substrings_against_brute_force(spark):
     r, passage = random.Random(8), " ".join(words(70, 11))
     rows = [(1, None), (2, ""), (3, "short"), (4, passage), (5, passage[:199]), (6, passage[:200]), (7, "xyz " * 300), (8, "é" * 150), (9, "q" * 250), (9, "q" * 250)]
     for i in range(10, 60):
@@ -488,9 +486,37 @@ def test_substrings_against_brute_force(spark, monkeypatch, heavy):
     assert got == brute_removed(rows)
 
 
+def test_substrings_of_near_copies_against_brute_force(spark):
+    """Many copies with a few changed bytes each, cut at both ends, and matches just above and below the threshold."""
+    r, rows = random.Random(18), []
+    base = " ".join(words(300, 12, 5000))
+    for i in range(60):
+        own = [*base[r.randrange(40) : len(base) - r.randrange(40)]]
+        for k in r.sample(range(len(own)), r.choice([0, 1, 2, 5])):
+            own[k] = "#"
+        rows.append((i, "".join(own)))
+    for i in range(60, 140):
+        at, n = r.randrange(len(base) - 260), r.choice([198, 199, 200, 201, 205, 224, 225, 226, 240])
+        rows.append((i, f"{i} head " + base[at : at + n] + f" tail {i}"))
+    rows += [(140 + i, "z" * r.choice([150, 199, 200, 201, 260])) for i in range(5)] + [(150, "abcdefg" * 90), (151, "bcdefga" * 40)]
+    got = sorted(tuple(x) for x in substrings.digests(table(spark, rows)).collect())
+    assert got == brute_removed(rows)
+
+
+@pytest.mark.parametrize("length", [8, 30, 57])
+def test_substrings_of_other_lengths(spark, length):
+    r = random.Random(length)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randrange(0, 150)))) for i in range(40)]
+    got = {x.doc_id: (len(x.text) - len(x.kept), len(x.removed)) for x in substrings.remove(table(spark, rows), length).collect()}
+    assert got == {i: (gone, n) for i, _, gone, n, _ in brute_removed(rows, length)}
+
+
 def test_substrings_cases(docs, rows, empty):
     done = substrings.remove(docs)
     assert done.columns == [*docs.columns, "removed", "kept"]
+    clash = docs.withColumn("removed", F.lit(1)).withColumn("kept", F.lit(2))
+    assert substrings.remove(clash).columns == done.columns
+    assert sorted(tuple(x) for x in substrings.digests(clash).collect()) == brute_removed(rows)
     assert sorted(tuple(x) for x in substrings.digests(docs).collect()) == brute_removed(rows)
     assert substrings.digests(empty).collect() == []
 
