@@ -15,7 +15,7 @@ training counts along, in sorted arrays of hashes, one for each of its parts of
 all blocks brought and answers each in its order; with the answers, a block builds the states and arcs that its texts
 can reach and traverses its documents, many stretches of them at a time. Parts are at most PARTS, so that a block sends
 a bounded number of rows and rows grow in proportion to the corpus. A frequent word costs one entry for each block.
-Words are known by 96 bits of hash, pairs and triples by 64.
+Words are known by 96 bits of hash, pairs and triples by 56.
 
 Defined cases: null, empty and blank texts have just the end token; A-Z count as a-z; without training documents all
 counts are 0; a very long text is in a block of its own, and its traversal is dealt into stretches; repeated rows are
@@ -36,13 +36,15 @@ from .common import pieces, release, text_bytes
 from .vec import BASE, Words, mix, prefix_sums, span_hashes
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Most parts of the hashes' range, about a quarter of a full block's keys.
 PARTS = 1 << 18
 #: Prior weights of the pair's and the triple's distribution, in tokens.
 PAIR, TRIPLE = 256.0, 8.0
 #: Tokens that are traversed as one stretch.
 STRETCH = 128
+#: Bits that the hashes of pairs and triples are shortened by.
+SHORT = np.uint64(8)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -92,7 +94,7 @@ class Block:
         before[1:] = tokens[:-1]
         before[self.first] = START
         pair = mix(before * np.uint64(BASE) + tokens)
-        self.pairs, place, self.pair = _unique(pair)
+        self.pairs, place, self.pair = _unique(pair >> SHORT)
         # the start of a text is a word behind all others
         left = np.empty(len(tokens), np.int32)
         left[1:] = self.word[:-1]
@@ -101,7 +103,7 @@ class Block:
         inner = np.ones(len(tokens), bool)
         inner[self.first] = False
         at = np.flatnonzero(inner)
-        self.triples, place, triple = _unique(mix(pair[at - 1] * np.uint64(BASE) + tokens[at]))
+        self.triples, place, triple = _unique(mix(pair[at - 1] * np.uint64(BASE) + tokens[at]) >> SHORT)
         self.triple = np.full(len(tokens), -1, np.int32)
         self.triple[at] = triple
         place = at[place]
@@ -114,7 +116,7 @@ class Block:
         rows = []
         for kind, (keys, index, checks) in enumerate(((self.words, self.word, self.checks), (self.pairs, self.pair, None), (self.triples, self.triple, None))):
             count = np.bincount(index[weight & (index >= 0)], minlength=len(keys)).astype(np.uint32)
-            part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            part = ((keys >> (np.uint64(32) - (SHORT if kind else np.uint64(0)))) * np.uint64(parts)) >> np.uint64(32)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]]) if len(keys) else [0]
             for a, b in zip(edges[:-1], edges[1:]):
                 rows.append((kind, int(part[a]), block, _packed_keys(keys[a:b]), checks[a:b].tobytes() if checks is not None else b"", _packed(count[a:b])))
@@ -123,22 +125,24 @@ class Block:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return np.uint32(len(values)).tobytes() + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """All first bytes first, then all second ones: of small numbers the upper ones are 0."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.copy()
+    return np.uint32(len(values)).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
     n, size = int(np.frombuffer(data[:4], np.uint32)[0]), np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(data[4:], n * size, codec="zstd", asbytes=True), kind)
+    planes = np.frombuffer(pa.decompress(data[4:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(size, -1).T.copy().view(kind).ravel()
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, all their first bytes first, since the upper ones are mostly 0."""
-    return _packed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy().ravel())
+    """Sorted hashes as differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    planes = _unpacked(data, "u1").reshape(8, -1)
-    return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpacked(data, "u8"), dtype=np.uint64)
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -162,6 +166,7 @@ def answers(table: pa.Table) -> pa.Table:
     ends = np.cumsum([0, *sizes])
     rows = [_packed(total[name[a:b]].astype(np.uint64)) for a, b in zip(ends[:-1], ends[1:])]
     n = len(rows)
+    release()
     return pa.table([pa.array(blocks, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(rows, pa.binary())], names=["block", "kind", "part", "counts"])
 
 
@@ -258,7 +263,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             for batch in held:
                 out.write_batch(batch)
         return pa.record_batch([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
@@ -291,7 +296,9 @@ def score(docs: DataFrame, training: Column, pair: float = PAIR, triple: float =
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         rows = _rows(table)
-        return Block(_texts(rows)).requests(key[0].as_py(), rows.column(1).to_numpy(), parts)
+        out = Block(_texts(rows)).requests(key[0].as_py(), rows.column(1).to_numpy(), parts)
+        release()
+        return out
 
     requests = dealt.groupBy("block").applyInArrow(ask, "kind int, part int, block long, keys binary, checks binary, counts binary").repartition(parts, "kind", "part")
     # no filter here: the shuffled requests are used by both then
@@ -308,6 +315,7 @@ def score(docs: DataFrame, training: Column, pair: float = PAIR, triple: float =
         n, v = left.column("n")[0].as_py(), left.column("v")[0].as_py()
         counts = [np.concatenate(x) if x else np.zeros(0) for x in got]
         tokens, seen, base, total = Automaton(Block(_texts(rows)), *counts, n, v, pair, triple).traverse()
+        release()
         out = [rows.column(0), rows.column(1), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([n] * rows.num_rows, pa.int64()), pa.array(base), pa.array(total)]
         return pa.table(out, names=["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -322,7 +330,8 @@ crc AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id A
 #: The smoothed probabilities by their definition; the token before the first is '<', the end is '>' (no word is: both are told apart by their kind).
 SCORE_SQL = rf"""
 WITH {CRC_SQL},
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 l AS (SELECT r, doc_id, crc % 7 = 2 AS held_out, list_concat([' <'], w, [' >']) AS w FROM d JOIN crc USING (doc_id)),
 t AS (SELECT r, held_out, w[i] AS x, w[i - 1] AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM l, unnest(range(2, len(w) + 1)) AS u(i)),
 n1 AS (SELECT x, count(*) AS c1 FROM t WHERE NOT held_out GROUP BY x),
