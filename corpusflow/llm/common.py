@@ -4,26 +4,27 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no shared folder (tests on one machine).
+#: Only used where the session names no shared folder and everything runs on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or LOCAL_SHARED
-    return root.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one only where Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or LOCAL_SHARED).rstrip("/")
 
 
 class Scratch:
@@ -42,6 +43,32 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key() -> Column:
+    """96 bits that stand for a row's doc_id and text, for tables in which ids repeat; never null."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.hash("text", "doc_id").alias("y"))
+
+
+#: Most keys that are hot: those with more than 1 / HOT of all rows (and more than HOT_ROWS).
+HOT, HOT_ROWS = 10_000, 256
+
+
+def hot_rows(total: int) -> int:
+    """Rows beyond which a key is hot, if there are ``total``; so many keys can't be more than HOT."""
+    return max(HOT_ROWS, total // HOT)
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The hot keys of ``rows``, counted with partial sums before the shuffle."""
+    return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(rows.count())).select(on)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """A join with ``right``, in which no key repeats. Rows of the hot keys, at most HOT, are met by a broadcast and not shuffled."""
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(hot, on, "left_semi").join(few, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; sizes blocks and partitions, so that these grow in number and not in size."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -1,7 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index; DataFrame operations only.
 
-Method: the documents' tokens that occur in any benchmark item are stored once as postings (term, document, position)
-in the shared folder. A benchmark window asks for its terms from the rarest on: the postings of its rarest term,
+Method: the documents' tokens that occur in any benchmark item are stored once as postings (term, row, position) in the
+shared folder; a row is known by hashes of its doc_id and text. A benchmark window asks for its terms from the rarest on: the postings of its rarest term,
 shifted back by the term's offset, are the candidate starts; those are intersected with the shifted postings of the
 second rarest term, and what is left with those of all other terms. What survives are exact phrase matches.
 ``proximity`` answers with the same lists where all of a window's terms stand within a distance of each other.
@@ -11,8 +11,8 @@ size is within ``BROADCAST_BYTES``; beyond that the same joins are left to shuff
 
 Defined cases: null and empty texts have no words, hits or items; an item without words is no window and one of fewer
 words than ``size`` is one window; equal windows of several items count for each of these; a document of any length is
-matched as a whole; rows that repeat a doc_id give a row each, with the hits of that id; other columns are ignored by
-``matches`` and kept by ``drop_contaminated``.
+matched as a whole; rows that repeat a doc_id give a row each, with the hits of their own text; an empty table on either
+side gives no hits; other columns are ignored by ``matches`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_keys, row_key, split_join
 
 SIZE = 10
 BROADCAST_BYTES = 32 << 20
@@ -49,13 +49,14 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings: term, doc_id, pos. windows: window, n, at (offset), term. items: window, item_id."""
+    """postings: term, row, pos, doc_id (of an end only). windows: window, n, at (offset), term. items: window, item_id."""
 
     scratch: Scratch
     postings: DataFrame
     windows: DataFrame
     items: DataFrame
     n_windows: int
+    n_items: int
 
 
 def build(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Index:
@@ -71,14 +72,14 @@ def build(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Index:
     n_terms = vocabulary.count()
     known = vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).cast("long").alias("term")))
 
-    tokens = docs.select("doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
-    tokens = tokens.select("doc_id", "pos", lowered(F.col("word")).alias("word"))
-    postings = scratch.table(tokens.join(bounded(known, n_terms, 64), "word").select("term", "doc_id", "pos"), "postings")
+    tokens = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
+    tokens = tokens.select("doc_id", "row", "pos", lowered(F.col("word")).alias("word"))
+    postings = scratch.table(tokens.join(bounded(known, n_terms, 64), "word").select("term", "row", "pos", F.when(F.col("term") == 0, F.col("doc_id")).alias("doc_id")), "postings")
 
     placed = numbered.select("window", F.size("phrase").alias("n"), F.posexplode("phrase").alias("at", "word"))
     windows = scratch.table(placed.join(vocabulary, "word").select("window", "n", "at", "term"), "windows")
     owners = scratch.table(items.join(numbered, "phrase").select("window", "item_id"), "items")
-    return Index(scratch, postings, windows, owners, n_windows)
+    return Index(scratch, postings, windows, owners, n_windows, owners.count())
 
 
 def ranked(index: Index) -> DataFrame:
@@ -90,24 +91,24 @@ def ranked(index: Index) -> DataFrame:
 
 
 def _shifted(index: Index, windows: DataFrame) -> DataFrame:
-    """Starts that the postings of one term of each window allow: window, n, doc_id, start."""
+    """Starts that the postings of one term of each window allow: window, n, row, start."""
     wanted = bounded(windows.select("window", "n", "at", "term"), index.n_windows, 40)
-    return index.postings.join(wanted, "term").where("pos >= at").select("window", "n", "doc_id", (F.col("pos") - F.col("at")).alias("start"))
+    return index.postings.join(wanted, "term").where("pos >= at").select("window", "n", "row", (F.col("pos") - F.col("at")).alias("start"))
 
 
 def matches(index: Index) -> DataFrame:
-    """Exact phrase matches: window, n, doc_id, start."""
+    """Exact phrase matches: window, n, row, start."""
     rows, scratch = ranked(index), index.scratch
     first, second = _shifted(index, rows.where("rarity = 1")), _shifted(index, rows.where("rarity = 2"))
-    both = first.hint("shuffle_hash").join(second.select("window", "doc_id", "start"), ["window", "doc_id", "start"], "left_semi")
+    both = first.join(second.select("window", "row", "start"), ["window", "row", "start"], "left_semi")
     # rows that repeat an id with their text give each start again; the counts below are of different ones
     left = scratch.table(both.distinct().unionByName(first.where("n = 1").distinct()), "left")
 
-    documents = scratch.table(left.where("n > 2").select("doc_id").distinct(), "candidates")
-    narrowed = index.postings.join(bounded(documents, documents.count(), 16), "doc_id", "left_semi")
+    documents = scratch.table(left.where("n > 2").select("row").distinct(), "candidates")
+    narrowed = index.postings.join(bounded(documents, documents.count(), 24), "row", "left_semi")
     more = left.where("n > 2").join(bounded(rows.where("rarity > 2").select("window", "at", "term"), 8 * index.n_windows, 40), "window")
-    wanted = more.select("window", "n", "doc_id", "start", "term", (F.col("start") + F.col("at")).alias("pos"))
-    found = wanted.join(narrowed, ["doc_id", "pos", "term"], "left_semi").groupBy("window", "n", "doc_id", "start").count()
+    wanted = more.select("window", "n", "row", "start", "term", (F.col("start") + F.col("at")).alias("pos"))
+    found = wanted.join(narrowed, ["row", "pos", "term"], "left_semi").groupBy("window", "n", "row", "start").count()
     return scratch.table(found.where("count = n - 2").drop("count").unionByName(left.where("n <= 2")).distinct(), "matches")
 
 
@@ -116,26 +117,28 @@ def proximity(index: Index, distance: int) -> DataFrame:
     rows = ranked(index).dropDuplicates(["window", "term"])
     needed = Window.partitionBy("window")
     rows = rows.withColumn("terms", F.count(F.lit(1)).over(needed)).withColumn("least", F.min("rarity").over(needed))
-    anchors = index.postings.join(rows.where("rarity = least").select("window", "terms", "term"), "term").select("window", "terms", "doc_id", F.col("pos").alias("anchor"))
+    anchors = index.postings.join(rows.where("rarity = least").select("window", "terms", "term"), "term").select("window", "terms", "row", F.col("pos").alias("anchor"))
     # an equality on stretches of positions keeps the join from pairing all of a document's tokens
     stretch = lambda c: F.floor(c / F.lit(distance + 1))
     around = anchors.withColumn("stretch", F.explode(F.array(*(stretch(F.col("anchor")) + i for i in (-1, 0, 1)))))
-    others = index.postings.join(rows.where("rarity > least").select("window", "term"), "term").select("window", "doc_id", "pos", "term", stretch(F.col("pos")).alias("stretch"))
-    near = around.join(others, ["window", "doc_id", "stretch"]).where(F.abs(F.col("pos") - F.col("anchor")) <= distance)
-    found = near.groupBy("window", "doc_id", "anchor", "terms").agg(F.count_distinct("term").alias("count")).where("count = terms - 1")
-    single = anchors.where("terms = 1").select("window", "doc_id", "anchor")
-    return found.select("window", "doc_id", "anchor").unionByName(single).withColumnRenamed("anchor", "pos")
+    others = index.postings.join(rows.where("rarity > least").select("window", "term"), "term").select("window", "row", "pos", "term", stretch(F.col("pos")).alias("stretch"))
+    near = around.join(others, ["window", "row", "stretch"]).where(F.abs(F.col("pos") - F.col("anchor")) <= distance)
+    found = near.groupBy("window", "row", "anchor", "terms").agg(F.count_distinct("term").alias("count")).where("count = terms - 1")
+    single = anchors.where("terms = 1").select("window", "row", "anchor")
+    named = index.postings.where("term = 0").select("row", "doc_id").distinct()
+    return found.select("window", "row", "anchor").unionByName(single).distinct().join(named, "row").select("window", "doc_id", F.col("anchor").alias("pos"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids as strings, sorted) of every document."""
     index = build(docs, benchmark, size)
     found = matches(index)
-    hit = found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = found.select("doc_id", "window").distinct().join(index.items, "window").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    items = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
-    sizes = index.postings.where("term = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    out = sizes.join(hit, "doc_id", "left").join(items, "doc_id", "left")
+    hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+    items = found.select("row", "window").distinct().join(bounded(index.items, index.n_items, 40), "window").select("row", F.col("item_id").cast("string").alias("item")).distinct()
+    items = items.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
+    sizes = index.postings.where("term = 0").select("doc_id", "row", F.col("pos").cast("long").alias("n_words"))
+    # rows that repeat an id with their text have one key
+    out = split_join(sizes, hit.join(items, "row", "left"), ["row"], hot_keys(sizes, ["row"]), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -145,8 +148,8 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
-    found = matches(build(docs, benchmark, size)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = matches(build(docs, benchmark, size)).select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_key()).join(bounded(found, found.count(), 24), "__row", "left_anti").select(*docs.columns)
 
 
 REPORT_SQL = rf"""

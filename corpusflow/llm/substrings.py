@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, pieces, row_key
 from .decontam import bounded
 from .vec import BASE, mix, powers
 
@@ -217,8 +217,7 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """``docs`` with 96 bits that stand for a row's doc_id and text."""
-    return docs.withColumn("__key", F.struct(F.xxhash64("doc_id", "text").alias("x"), F.hash("text", "doc_id").alias("y")))
+    return docs.withColumn("__key", row_key())
 
 
 def _narrowed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -243,13 +243,12 @@ def shingle_set(text):
 
 
 def brute_components(rows, percent=85):
-    sets = {}
-    for i, t in rows:
-        sets.setdefault(i, shingle_set(t))
-    ids = sorted(sets)
-    label = {i: i for i in ids}
+    """Sets of the ids' last rows, and the smallest id reachable; rows that repeat an id are one node."""
+    every = [(i, shingle_set(t)) for i, t in rows]
+    sets = dict(every)
+    label = {i: i for i in sorted(sets)}
     changed = True
-    links = [(x, y) for x in ids for y in ids if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])]
+    links = [(x, y) for x, a in every for y, b in every if x < y and a and b and 100 * len(a & b) >= percent * len(a | b)]
     while changed:
         changed = False
         for x, y in links:
@@ -281,6 +280,31 @@ def test_minhash_in_a_group_of_many_near_copies(spark):
     assert got == label
 
 
+def test_minhash_of_repeated_and_odd_ids(spark):
+    a, b = words(80, 71, 5000), words(80, 72, 5000)
+    like = lambda x, w: " ".join([*x, w])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, like(a, "one")), (8, like(b, "two")), (9, ""), (7, None), (3, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.components(table(spark, rows)).collect())
+    assert got == [(3, 0, 3), (5, 76, 5), (5, 76, 5), (7, 0, 5), (7, 77, 5), (8, 77, 5), (9, 0, 9)]
+    named = [(f"d{i}", t) for i, t in rows] + [(None, " ".join(a)), (None, "alone at last")]
+    docs = spark.createDataFrame(named, "doc_id string, text string").repartition(3)
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id or "") for r in minhash.components(docs).collect())
+    assert got == [("", 1, ""), ("", 76, "d5"), ("d3", 0, "d3"), ("d5", 76, "d5"), ("d5", 76, "d5"), ("d7", 0, "d5"), ("d7", 77, "d5"), ("d8", 77, "d5"), ("d9", 0, "d9")]
+    assert sorted(r.doc_id or "" for r in minhash.keep_first(docs).collect()) == ["", "d3", "d5", "d5", "d9"]
+
+
+def test_hot_keys_are_met_alike(spark, monkeypatch):
+    from corpusflow.llm import common
+
+    left = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(200)] + [(None, 0)], "key long, v long")
+    right = spark.createDataFrame([(k, -k) for k in range(150)], "key long, w long")
+    plain = {how: sorted(map(str, left.join(right, "key", how).collect())) for how in ("inner", "left", "left_anti", "left_semi")}
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    hot = common.hot_keys(left, ["key"])
+    assert hot.count() == 3
+    assert plain == {how: sorted(map(str, common.split_join(left, right, ["key"], hot, how).collect())) for how in plain}
+
+
 def test_odd_sketch_estimates_high_similarities():
     r = np.random.default_rng(1)
     errors = []
@@ -543,7 +567,7 @@ def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
 
-def brute_report(rows, items, size=10):
+def brute_report_unsorted(rows, items, size=10):
     out = []
     windows = {}
     for item, text in items:
@@ -558,7 +582,11 @@ def brute_report(rows, items, size=10):
                     hit.update(range(i, i + n))
                     named |= own
         out.append((doc, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
-    return sorted(out)
+    return out
+
+
+def brute_report(rows, items):
+    return sorted(brute_report_unsorted(rows, items))
 
 
 def test_decontamination_against_brute_force(spark, empty):
@@ -586,6 +614,16 @@ def test_decontamination_of_repeated_rows(spark):
     assert [x.doc_id for x in decontam.drop_contaminated(twice, benchmark).collect()] == [3, 3]
 
 
+def test_decontamination_of_repeated_ids(spark):
+    """Positions of different texts with one id don't mix, and each row has its own hits."""
+    items = [(1, "one two three four five six")]
+    rows = [(5, "one two three"), (5, "x x x four five six"), (5, "so one two three four five six"), (None, "one two three four five six"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    order = lambda xs: sorted(xs, key=str)
+    assert order(tuple(x) for x in decontam.digests(table(spark, rows), benchmark).collect()) == order(brute_report_unsorted(rows, items))
+    assert order(x.text for x in decontam.drop_contaminated(table(spark, rows), benchmark).collect()) == order([rows[0][1], rows[1][1], None])
+
+
 def test_decontamination_beyond_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     text = words(30, 31)
