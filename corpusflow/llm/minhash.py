@@ -7,16 +7,20 @@ Candidates whose estimate is far too low are dropped. A second odd sketch folds
 most as many bits as the sets differ in shingles, which rules out pairs for certain. All others are compared on their
 full sets, which alone decides.
 
-Groups of copies: documents with one set are one class, of which the smallest id goes on. In a bucket (the classes of
-one band key) each class is compared with three of them (by id the smallest and the largest, and the smallest by a
+Groups of copies: documents with one set are one class, which has a number of its own. In a bucket (the classes of one
+band key) each class is compared with three of them (by number the smallest and the largest, and the smallest by a
 hash), not with all. Components follow from the confirmed links. Only in buckets that then still hold several
 components, the classes outside the largest one are compared with all others across components. So no link between
 components is left out, while a group of copies costs rows in proportion to its size.
 
+Hot groups: keys with more than a bounded share of the rows (a set that very many documents have, a bucket of very many
+classes, a class in very many pairs) are at most HOT, and are met by a broadcast and not shuffled.
+
 Defined cases: texts of fewer than five words are one shingle of all their words; null, empty and blank texts have the
-empty set and link with nothing; very long texts have whole sets; rows that repeat an id are one node, linked with
-what any of them links with; an empty table gives an empty result; other columns are ignored by ``components`` and
-kept by ``keep_first``.
+empty set and link with nothing; very long texts have whole sets; rows that repeat an id are one node, linked with what
+any of them links with, and give a row each; ids may be of any type that can be ordered; rows whose id is null are
+compared by their texts but are no node, and ``keep_first`` keeps them where no row with an id is in their component; an
+empty table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, release
+from .common import Scratch, hot_keys, hot_rows, pieces, release, row_key, split_join
 from .graph import connected
 from .vec import Words, mix, shingles
 
@@ -38,8 +42,8 @@ BANDS, ROWS = 28, 5
 #: Bits of the odd sketch, which are held in longs.
 BITS = 512
 ODD = [f"o{i}" for i in range(BITS // 64)]
-#: An estimate so far below a least similarity of 0.85 drops a candidate: five times the estimate's spread there.
-DOUBT = 0.17
+#: An estimate so far below a least similarity of 0.85 drops a candidate: six times the estimate's spread there.
+DOUBT = 0.21
 #: Bits of the odd sketch of the whole set.
 WHOLE_BITS = 1024
 WHOLE = [f"p{i}" for i in range(WHOLE_BITS // 64)]
@@ -89,18 +93,18 @@ def most_differing(percent: int) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's digest ``d1``, ``d2``, ``bands`` and the odd sketch; all but the first two are null for an empty set."""
+    """doc_id, row (its key), n_shingles, the set's digest ``d1``, ``d2``, ``bands`` and the odd sketches; all but the first three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1, 1 << 20):
-            own, first = shingles(Words([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]), SHINGLE)
+        for batch in pieces(batches, 2, 1 << 20):
+            own, first = shingles(Words([x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]), SHINGLE)
             n = np.diff(first)
             full = np.flatnonzero(n)
             place = np.full(len(n), -1)
             place[full] = np.arange(len(full))
             take = pa.array(place, mask=place < 0)
             begins = first[:-1][full]
-            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64())]
             if len(full):
                 rows = samples(own, begins)
                 digest = [np.add.reduceat(mix(own ^ s), begins).view(np.int64) for s in (np.uint64(0), GOLD)]
@@ -109,11 +113,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 columns += [pa.array(x).take(take) for x in digest] + [bands.take(take)] + [pa.array(x).take(take) for x in (*odd_sketches(rows).T, *whole.T)]
             else:
                 columns += [pa.nulls(len(n), pa.int64())] * 2 + [pa.nulls(len(n), pa.list_(pa.int64()))] + [pa.nulls(len(n), pa.int64())] * len(ODD + WHOLE)
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", *ODD, *WHOLE])
+            yield pa.record_batch(columns, names=["doc_id", "row", "n_shingles", "d1", "d2", "bands", *ODD, *WHOLE])
         release()
 
     odd = ", ".join(f"{x} long" for x in ODD + WHOLE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {odd}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row struct<x:long,y:int>, n_shingles long, d1 long, d2 long, bands array<long>, {odd}")
 
 
 def _plausible(percent: int) -> Column:
@@ -126,23 +131,25 @@ def _plausible(percent: int) -> Column:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` that the odd sketches don't rule out."""
-    one = classes.select("doc_id", "n_shingles", *ODD, *WHOLE)
-    both = pairs.join(one.alias("r"), F.col("b") == F.col("r.doc_id")).join(one.alias("l"), F.col("a") == F.col("l.doc_id"))
-    return both.where(_plausible(percent)).select("a", "b")
+    """Those of the pairs ``a``, ``b`` that the odd sketches don't rule out; ``pairs`` is a written table."""
+    one = classes.select("id", "n_shingles", *ODD, *WHOLE)
+    with_ = lambda left, x, side: split_join(left, one.select(F.col("id").alias(x), F.struct("n_shingles", *ODD, *WHOLE).alias(side)), [x], hot_keys(pairs, [x]))
+    return with_(with_(pairs, "b", "r"), "a", "l").where(_plausible(percent)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` of doc_ids whose full sets have 100 * intersection >= percent * union.
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` of classes whose full sets have 100 * intersection >= percent * union.
 
     The text of ``b`` travels once for each of its pairs, that of ``a`` once for each of its salts, so that a document
     of very many pairs is dealt over many tasks, of which each holds one batch and one set.
     """
     salts = max(1, -(-pairs.count() // SALT))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    text = docs.select(F.col("doc_id").alias("id"), "text")
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # one text of each class; rows that repeat an id with its text are one before the shuffle
+    text = docs.select(row_key().alias("row"), "text").join(classes.join(needed, "id").select("id", "row"), "row").groupBy("id").agg(F.first("text").alias("text"))
     left = salted.select("a", "salt").distinct().join(text, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = salted.join(text, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
+    right = split_join(salted, text.withColumnRenamed("id", "b"), ["b"], hot_keys(salted, ["b"])).select("a", "salt", "b", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ()
@@ -170,46 +177,74 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every document."""
+    return _components(docs, percent).drop("row")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     every = scratch.table(sketches(docs), "sketches")
-    groups = scratch.table(every.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "groups")
-    classes = every.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    members = classes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).getField("doc_id").alias("mid")).where("low < high")
-    bucketed = scratch.table(members.join(buckets, "key"), "bucketed")
-    stars = _ordered(bucketed.select("doc_id", F.explode(F.array("low", "high", "mid")).alias("star")).distinct(), "doc_id", "star")
+    full = every.where("d1 IS NOT NULL")
+    # what belongs to the set is equal in all rows of a class
+    own = [F.first(x).alias(x) for x in ("n_shingles", "bands", *ODD, *WHOLE)]
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *own).withColumn("id", F.monotonically_increasing_id())
+    classes = scratch.table(classes, "classes")
+
+    members = classes.select("id", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct(F.xxhash64("id"), "id")).getField("id").alias("mid")).where("low < high")
+    buckets = scratch.table(buckets, "buckets")
+    hot = buckets.where(F.col("n") > hot_rows(BANDS * classes.count())).select("key")
+    bucketed = scratch.table(split_join(members, buckets, ["key"], hot), "bucketed")
+    stars = scratch.table(_ordered(bucketed.select("id", F.explode(F.array("low", "high", "mid")).alias("star")).distinct(), "id", "star"), "stars")
     tried = scratch.table(plausible(stars, classes, percent), "tried")
-    links = scratch.table(confirmed(tried, docs, percent), "links")
+    scratch.drop("stars")
+    links = scratch.table(confirmed(tried, classes, docs, percent), "links")
+
+    # an id with several sets links their classes
+    several = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
+    of = full.select("doc_id", "d1", "d2").join(several, "doc_id", "left_semi").distinct().join(classes.select("d1", "d2", "id"), ["d1", "d2"])
+    links = scratch.table(links.unionByName(of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a < id").select("a", F.col("id").alias("b"))), "all-links")
     labels = connected(links, scratch, "first")
 
     # buckets of more classes than were all compared with each other, in which several components are left
-    component = F.coalesce("component", "doc_id")
-    labelled = bucketed.where("n > 3").select("doc_id", "key", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "key", "n", component.alias("component"))
+    component = F.coalesce("component", "id")
+    labelled = bucketed.where("n > 3").select("id", "key", "n").join(labels, "id", "left").select("id", "key", "n", component.alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("key").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    opened = scratch.table(labelled.join(main.select("key", "main"), "key"), "opened")
+    opened = scratch.table(split_join(labelled, main.select("key", "main"), ["key"], hot), "opened")
     if not opened.isEmpty():
-        one = opened.join(classes.select("doc_id", "n_shingles", *ODD, *WHOLE), "doc_id").withColumn("chunks", F.ceil(F.col("n") / SALT))
-        all_ = one.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+        one = opened.join(classes.select("id", "n_shingles", *ODD, *WHOLE), "id").withColumn("chunks", F.ceil(F.col("n") / SALT))
+        all_ = one.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
         others = one.where("component <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         l, r = others.alias("l"), all_.alias("r")
         # between two that are both outside the main component, once
-        across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.doc_id") < F.col("r.doc_id")))
+        across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
         met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.chunk") == F.col("r.chunk")) & across & _plausible(percent))
-        pairs = _ordered(met.select(F.col("l.doc_id").alias("x"), F.col("r.doc_id").alias("y")), "x", "y")
+        pairs = _ordered(met.select(F.col("l.id").alias("x"), F.col("r.id").alias("y")), "x", "y")
         more = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "more")
-        labels = connected(links.unionByName(confirmed(more, docs, percent)), scratch, "last")
+        labels = connected(links.unionByName(confirmed(more, classes, docs, percent)), scratch, "last")
+
+    # the smallest id of each component, by class
+    told = scratch.table(classes.select("id", "d1", "d2", "least").join(labels, "id", "left").withColumn("component", component), "told")
+    least = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = split_join(told, least, ["component"], hot_keys(told, ["component"])).select("d1", "d2", "component_id")
+    rows = full.select("doc_id", "row", "n_shingles", "d1", "d2")
+    out = split_join(rows, by_class, ["d1", "d2"], hot_keys(rows, ["d1", "d2"])).drop("d1", "d2")
+    # an empty set links with nothing, but its id may have other rows
+    bare = every.where("d1 IS NULL").select("doc_id", "row", "n_shingles")
+    known = _also_bare(full, bare, out)
+    return out.unionByName(bare.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")))
+
 
-    rep = every.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    out = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+def _also_bare(full: DataFrame, bare: DataFrame, out: DataFrame) -> DataFrame:
+    """doc_id and component_id of the ids of rows without words that rows with words have too."""
+    ids = bare.where("doc_id IS NOT NULL").select("doc_id").distinct().join(full.select("doc_id"), "doc_id", "left_semi")
+    return out.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are first (by doc_id) of their component."""
-    copies = components(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = _components(docs, percent).where("NOT doc_id <=> component_id").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_key()).join(copies, "__row", "left_anti").select(*docs.columns)
 
 
 COMPONENTS_SQL = r"""
