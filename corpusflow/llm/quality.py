@@ -6,11 +6,16 @@ being good; the means of these weighted by line length aggregate into the docume
 
 Only documents are labelled. Training starts from lines with their document's label and then twice relabels the lines
 of bad documents by the marginals (the worst stays bad), since such documents also hold good lines. It takes at most
-``sample`` labelled rows of either label, chosen by a hash of the id, in chains of at most ``CHAIN`` lines. Scoring
-takes whole texts of all rows.
-
-Defined cases: null and empty texts count as one empty line; very long texts are one chain of all their lines; repeated
-rows score alike; labels that are null or in conflict are left out; without labels every score is 0.5.
+``sample`` labelled rows of either label, chosen by a hash of the id, and of those as many, in the order of the hash, as
+have ``sample_bytes`` of text, in chains of at most ``CHAIN`` lines. The score is the logistic function of the quality,
+with the slope that fits the sample's labels (Platt 1999), shifted so that the cut with the fewest errors lies at ``CUT``.
+Scoring takes whole texts of all rows.
+
+Defined cases: null and empty texts count as one empty line; very long texts are one chain of all their lines; an empty
+table gives an empty result; documents of one quality score alike, and cuts with equally few errors are settled in the
+middle; repeated rows score alike, and of labelled rows that repeat an id the smallest text is learnt from; labels that
+are null or in conflict are left out; without labels of both kinds every score is 0.5; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -157,6 +162,21 @@ def means(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / (weight[first[1:]] - weight[first[:-1]])
 
 
+def slope(value: np.ndarray, good: np.ndarray, rounds: int = 50) -> float:
+    """The slope of a logistic regression of the labels on the values, by Newton's method with Platt's smoothed labels."""
+    n, m = int(good.sum()), int((~good).sum())
+    target = np.where(good, (n + 1) / (n + 2), 1 / (m + 2))
+    x, w = np.stack([value - value.mean(), np.ones(len(value))], 1), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        move = np.linalg.solve(hessian, x.T @ (target - p) - 1e-6 * w)
+        w += np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-6:
+            break
+    return float(max(w[0], 1.0))
+
+
 def train(texts: list[str | None], good: np.ndarray) -> dict:
     if not len(texts) or good.all() or not good.any():
         return {"w": [0.0] * FEATURES, "move": [0.0] * 4, "slope": 0.0, "cut": 0.5, "prior": 0.5}
@@ -180,7 +200,7 @@ def train(texts: list[str | None], good: np.ndarray) -> dict:
     best = np.flatnonzero(wrong == wrong.min())
     k = int(best[len(best) // 2])
     low, high = value[order[max(k - 1, 0)]], value[order[min(k, len(order) - 1)]]
-    return {"w": w.tolist(), "move": move.ravel().tolist(), "slope": 12.0, "cut": float((low + high) / 2), "prior": CUT}
+    return {"w": w.tolist(), "move": move.ravel().tolist(), "slope": slope(value, good), "cut": float((low + high) / 2), "prior": CUT}
 
 
 def qualities(texts: list[bytes], model: dict) -> np.ndarray:
@@ -190,14 +210,14 @@ def qualities(texts: list[bytes], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 2500) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 2500, sample_bytes: int = 64 << 20) -> dict:
     """The model; ``keep`` says which labels may be learnt from."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values(["doc_id"], kind="stable")
         yield pd.DataFrame({"model": [json.dumps(train([x if isinstance(x, str) else None for x in rows["text"]], rows["label"].to_numpy() == 1))]})
 
-    found = labelled(docs, labels, "quality", keep, sample).repartition(1).mapInPandas(run, "model string").first()
+    found = labelled(docs, labels, "quality", keep, sample, sample_bytes).repartition(1).mapInPandas(run, "model string").first()
     return json.loads(found[0]) if found else train([], np.zeros(0, bool))
 
 

@@ -1,17 +1,24 @@
 """Toxicity by weak supervision.
 
-Method: many voters look at a document: lexicons (words and word beginnings that are overrepresented in the labelled
-rows, dealt into groups, with a seed of common insults) and patterns (shouting, runs of marks, address in the second
-person, masked words). A generative model of the votes, fitted by expectation maximization without labels, estimates
-each voter's accuracy and the strongest correlations between voters (a tree of conditional dependences). Its posterior
-labels train a linear classifier on the lexicon entries and pattern densities, and that scores every document.
-
-Training takes at most ``sample`` labelled rows of either label, chosen by a hash of the id; scoring takes whole texts
-of all rows. Labels choose the lexicons; scores see the text alone.
-
-Defined cases: null and empty texts are scored from the model's intercept; without any labelled toxic row the seed
-lexicon alone votes; repeated rows score alike; labels that are null or repeated in conflict are left out; other
-columns are ignored.
+Method: many voters look at a document: lexicons and patterns. The lexicons are a seed of common insults, and what is
+overrepresented in the labelled rows: words, word beginnings, and beginnings that several words of a document have; one
+lexicon for each of these kinds and each band of log-odds, so that entries that vote together are evidence of one sort and
+strength. The patterns are shouting, runs of marks, address in the second person and masked words. A generative model of
+the votes, fitted by expectation maximization without labels, estimates each voter's accuracy and the strongest
+correlations between voters (a tree of conditional dependences: a word's lexicon and that of its beginning, for one). Its
+posterior labels train a linear classifier on entries, lexicons and pattern densities, and that scores every document.
+
+Training takes at most ``sample`` labelled rows of either label, chosen by a hash of the id, and of those as many, in the
+order of the hash, as have ``sample_bytes`` of text. Of rows whose word sequences are alike (MinHash estimate of at least
+``alike`` on three-word shingles) the first one counts, since words that only copies repeat are no evidence. A lexicon has
+at most ``ENTRIES`` entries, the strongest. Scoring takes whole texts of all rows. Labels choose the lexicons; scores see
+the text alone.
+
+Defined cases: null and empty texts are scored from the model's intercept; very long texts are scored whole; without any
+labelled toxic row the seed lexicon alone votes; an empty table gives an empty result; entries of one strength are taken
+in the order of their names; repeated rows score alike, and of labelled rows that repeat an id the smallest text is learnt
+from; labels that are null or in conflict are left out; other columns, whatever their names, are ignored by ``score`` and
+kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, release
@@ -33,19 +40,34 @@ from .vec import Words, mix, shingles
 #: A seed of common insults.
 SEED = ["idiot", "idiots", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting"]
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5)
-GROUPS = 24
+PREFIXES = (4, 5, 6, 7)
+#: Bounds of the bands of log-odds.
+BANDS = (3.5, 5.0)
+#: The seed, and a lexicon for each kind of entry and band.
+GROUPS = 1 + 3 * (len(BANDS) + 1)
 PATTERNS = {
     "shouting": re.compile(r"\b[A-Z]{4,}(?:\W+[A-Z]{2,}){3,}"),
     "marks": re.compile(r"[!?]{2,}"),
     "you": re.compile(r"\byou(?:'re| are)?\b", re.I),
     "masked": re.compile(r"\b[a-z]+[*@#$]{2,}[a-z]+\b", re.I),
 }
+#: Most entries of all lexicons together.
 ENTRIES = 4000
+#: MinHash samples of a labelled row, and how many make a band: rows alike by 0.8 share none with a probability of 2e-4.
+SAMPLES, BAND = 64, 4
 
 
 def entries(token: str) -> list[str]:
-    return [token, *(f"{token[:n]}-" for n in PREFIXES if len(token) >= n)]
+    return [token, *beginnings(token)]
+
+
+def beginnings(token: str) -> list[str]:
+    return [f"{token[:n]}-" for n in PREFIXES if len(token) >= n]
+
+
+def several(own: set[str]) -> Iterator[str]:
+    """Beginnings that more than one of a document's words have."""
+    return (f"{e}-" for e, n in Counter(e for t in own for e in beginnings(t)).items() if n > 1)
 
 
 def tokens(text: str | None) -> set[str]:
@@ -62,7 +84,7 @@ def lexicon(found: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
     """Entries that stand in labelled toxic documents, and hardly in others, with their log-odds."""
     ours, others = Counter(), Counter()
     for own, label in zip(found, toxic):
-        (ours if label else others).update({e for t in own for e in entries(t)})
+        (ours if label else others).update({*(e for t in own for e in entries(t)), *several(own)})
     words: dict[str, set[str]] = {}
     for t in {t for own, label in zip(found, toxic) if label for t in own}:
         for e in entries(t)[1:]:
@@ -77,26 +99,56 @@ def lexicon(found: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
         if c >= 3 and ratio >= least and c >= 3 * b and c / n >= 4 * b / m:
             strong[e] = float(np.log((c + 0.1) / (n + 0.2)) - np.log((b + 0.1) / (m + 0.2)))
     # a beginning of which one word makes up most is that word's evidence
-    for e in [e for e in strong if e.endswith("-")]:
+    for e in [e for e in strong if e.endswith("-") and not e.endswith("--")]:
         if max((ours[t] for t in words.get(e, ())), default=0) >= 0.8 * ours[e]:
             del strong[e]
     top = sorted(strong, key=lambda e: (-ours[e] * strong[e], e))[:ENTRIES]
     return {e: strong[e] for e in top} | {e: strong.get(e, 3.0) for e in SEED}
 
 
-def group(entry: str) -> int:
-    """Lexicons of related entries: those with one beginning of four letters vote together."""
-    return sum((i + 1) * ord(c) for i, c in enumerate(entry[:4])) % GROUPS
+def group(entry: str, odds: float) -> int:
+    """The lexicon of an entry."""
+    if entry in SEED:
+        return 0
+    kind = 2 if entry.endswith("--") else 1 if entry.endswith("-") else 0
+    return 1 + kind * (len(BANDS) + 1) + sum(odds >= b for b in BANDS)
+
 
+class Lexicon:
+    """Which entries a document has; ``cache`` tokens are remembered, with their entries and the beginnings that count if several words have them."""
 
-def votes(found: list[set[str]], dense: np.ndarray, lexicon: dict[str, float]) -> np.ndarray:
+    def __init__(self, names: list[str], groups: list[int], cache: int = 100_000):
+        self.index, self.groups, self.size = {e: i for i, e in enumerate(names)}, np.array(groups, np.int64), cache
+        self.known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
+
+    def hits(self, own: set[str]) -> list[int]:
+        found: set[int] = set()
+        twice: Counter[str] = Counter()
+        for t in own:
+            hit = self.known.get(t)
+            if hit is None:
+                if len(self.known) >= self.size:
+                    self.known.clear()
+                hit = self.known[t] = tuple(self.index[e] for e in entries(t) if e in self.index), tuple(f"{e}-" for e in beginnings(t) if f"{e}-" in self.index)
+            found.update(hit[0])
+            if hit[1]:
+                twice.update(hit[1])
+        found.update(self.index[e] for e, n in twice.items() if n > 1)
+        return sorted(found)
+
+    def lexicons(self, hits: list[int]) -> np.ndarray:
+        """Which lexicons have any entry among the hits."""
+        out = np.zeros(GROUPS)
+        out[self.groups[hits]] = 1
+        return out
+
+
+def votes(hits: list[list[int]], lexicon: Lexicon, dense: np.ndarray) -> np.ndarray:
     """A row for each document: 1 for toxic, 0 for no vote, -1 for clean."""
-    out = np.zeros((len(found), GROUPS + 1 + dense.shape[1]), np.int8)
-    for i, own in enumerate(found):
-        hits = [e for t in own for e in entries(t) if e in lexicon]
-        for e in hits:
-            out[i, group(e)] = 1
-        out[i, GROUPS] = 1 if len(hits) > 1 else 0 if hits else -1
+    out = np.zeros((len(hits), GROUPS + 1 + dense.shape[1]), np.int8)
+    for i, own in enumerate(hits):
+        out[i, :GROUPS] = lexicon.lexicons(own)
+        out[i, GROUPS] = 1 if len(own) > 1 else 0 if own else -1
     out[:, GROUPS + 1 :] = np.where(dense > 0.2, 1, np.where(dense == 0, -1, 0))
     return out
 
@@ -174,73 +226,74 @@ def linear(rows: list[list[int]], dense: np.ndarray, n: int, target: np.ndarray,
     return w
 
 
-def unlike(texts: list[str | None]) -> list[int]:
-    """Places of texts that are no copies of earlier ones, by four minimum hashes of their three-word shingles: words that only copies repeat are no evidence."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    salts = mix(np.arange(1, 5, dtype=np.uint64))
+def unlike(texts: list[str | None], alike: float) -> list[int]:
+    """Places of texts that are no copies of earlier ones, by the shares of equal MinHash samples among those with an equal band."""
+    salts = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    kept, out = [], []
     for begin in range(0, len(texts), 100):  # few at a time, for memory
         own, first = shingles(Words([(x or "").encode() for x in texts[begin : begin + 100]]), 3)
         for i in range(len(first) - 1):
             part = own[first[i] : first[i + 1]]
-            keys = {(k, int(mix(part ^ salt).min())) for k, salt in enumerate(salts)} if len(part) else set()
-            if not keys & seen:
+            if not len(part):
                 out.append(begin + i)
-            seen |= keys
+                continue
+            least = np.array([mix(part ^ salt).min() for salt in salts])
+            keys = [(k, least[k : k + BAND].tobytes()) for k in range(0, SAMPLES, BAND)]
+            if any((kept[at] == least).mean() >= alike for at in {at for key in keys for at in seen.get(key, ())}):
+                continue
+            for key in keys:
+                seen.setdefault(key, []).append(len(kept))
+            kept.append(least)
+            out.append(begin + i)
     return out
 
 
-def train(texts: list[str | None], toxic: np.ndarray) -> dict:
-    at = unlike(texts)
+def train(texts: list[str | None], toxic: np.ndarray, alike: float = 0.8) -> dict:
+    if not len(texts):
+        return {"entries": dict.fromkeys(SEED, 4.0), "groups": [0] * len(SEED), "dense": [0.0] * (GROUPS + len(PATTERNS)), "intercept": -3.0}
+    at = unlike(texts, alike)
     texts, toxic = [texts[i] for i in at], toxic[at]
     found, dense = [tokens(x) for x in texts], np.array([patterns(x) for x in texts]).reshape(len(texts), len(PATTERNS))
-    own = lexicon(found, toxic)
-    index = {e: i for i, e in enumerate(own)}
-    rows = [sorted({index[e] for t in x for e in entries(t) if e in index}) for x in found]
-    prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.02, 0.5))
-    posterior = LabelModel(votes(found, dense, own), prior).posterior if len(texts) else np.zeros(0)
-    if not len(texts):
-        return {"entries": dict.fromkeys(SEED, 4.0), "dense": [0.0] * len(PATTERNS), "intercept": -3.0}
-    w = linear(rows, dense, len(own), posterior)
-    return {"entries": {e: float(w[i]) for e, i in index.items()}, "dense": w[len(own) : -1].tolist(), "intercept": float(w[-1])}
+    odds = lexicon(found, toxic)
+    own = Lexicon(list(odds), [group(e, x) for e, x in odds.items()])
+    rows = [own.hits(x) for x in found]
+    prior = float(np.clip(toxic.mean(), 0.02, 0.5))
+    posterior = LabelModel(votes(rows, own, dense), prior).posterior
+    w = linear(rows, np.concatenate([np.array([own.lexicons(x) for x in rows]), dense], 1), len(odds), posterior)
+    return {"entries": dict(zip(odds, w[: len(odds)].tolist())), "groups": own.groups.tolist(), "dense": w[len(odds) : -1].tolist(), "intercept": float(w[-1])}
 
 
 class Scorer:
-    def __init__(self, model: dict, cache: int = 100_000):
-        self.model, self.size, self.hits = model, cache, {}
+    def __init__(self, model: dict):
+        self.lexicon = Lexicon(list(model["entries"]), model["groups"])
+        self.weights, self.dense, self.intercept = np.array(list(model["entries"].values())), np.array(model["dense"]), model["intercept"]
 
     def score(self, text: str | None) -> float:
-        own, known, seen = self.model["entries"], self.hits, set()
-        for t in tokens(text):
-            hit = known.get(t)
-            if hit is None:
-                if len(known) >= self.size:
-                    known.clear()
-                hit = known[t] = tuple(e for e in entries(t) if e in own)
-            if hit:
-                seen.update(hit)
-        z = self.model["intercept"] + sum(own[e] for e in sorted(seen)) + sum(a * b for a, b in zip(self.model["dense"], patterns(text)))
+        hits = self.lexicon.hits(tokens(text))
+        z = self.intercept + self.weights[hits].sum() + np.concatenate([self.lexicon.lexicons(hits), patterns(text)]) @ self.dense
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, keep, sample: int) -> DataFrame:
-    """text and label of at most ``sample`` rows of either label, chosen by a hash of the id among the rows where ``keep`` holds."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep, sample: int, sample_bytes: int) -> DataFrame:
+    """doc_id, text and label of at most ``sample`` rows of either label, chosen by a hash of the id among the rows where ``keep`` holds, and at most ``sample_bytes`` of text."""
     clear = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most")
-    order = F.xxhash64("doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = clear.where("label = 1").orderBy(order).limit(sample).unionByName(clear.where("label = 0").orderBy(order).limit(sample))
-    # at most 2 * sample ids, which bounds what is broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").select("doc_id", "text", "label")
+    # at most 2 * sample ids, which bounds what is broadcast and what goes to one task
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order))).where(F.col("bytes") <= sample_bytes).select("doc_id", "text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 4000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 4000, sample_bytes: int = 64 << 20, alike: float = 0.8) -> dict:
     """The model; ``keep`` says which labels may be learnt from."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values(["doc_id"], kind="stable")
-        yield pd.DataFrame({"model": [json.dumps(train(rows["text"].where(rows["text"].notna(), None).tolist(), rows["label"].to_numpy() == 1))]})
+        yield pd.DataFrame({"model": [json.dumps(train(rows["text"].where(rows["text"].notna(), None).tolist(), rows["label"].to_numpy() == 1, alike))]})
         release()
 
-    found = labelled(docs, labels, "toxic", keep, sample).repartition(1).mapInPandas(run, "model string").first()
+    found = labelled(docs, labels, "toxic", keep, sample, sample_bytes).repartition(1).mapInPandas(run, "model string").first()
     return json.loads(found[0]) if found else train([], np.zeros(0, bool))
 
 
@@ -251,7 +304,7 @@ def score(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
         own = Scorer(model)
         for batch in pieces(batches, 1, 1 << 20):
             yield pa.record_batch([batch.column(0), pa.array([own.score(x) for x in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
-        own.hits.clear()
+        own.lexicon.known.clear()
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -267,7 +320,7 @@ def reject(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
         own = Scorer(model)
         for batch in pieces(batches, at, 1 << 20):
             yield batch.filter(pa.array([own.score(x) < at_least for x in batch.column(at).to_pylist()], pa.bool_()))
-        own.hits.clear()
+        own.lexicon.known.clear()
         release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -430,6 +430,39 @@ def test_toxicity_of_odd_texts(docs, rows, empty, labelled_tables):
     assert toxicity.Scorer(none).score("you idiot") > 0.5 > toxicity.Scorer(none).score("a word")
 
 
+def test_labels_that_repeat_or_conflict(spark):
+    docs = spark.createDataFrame([(1, "b", 9), (1, "a", 9), (2, "c", 9), (3, None, 9), (4, "d", 9), (None, "e", 9)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, None), (None, 1), (7, 1)], "doc_id long, toxic int")
+    rows = lambda **more: sorted(tuple(r) for r in toxicity.labelled(docs, labels, "toxic", F.lit(True), **{"sample": 5, "sample_bytes": 100, **more}).collect())
+    assert rows() == [(1, "a", 1), (3, None, 0)]
+    assert set(rows(sample_bytes=0)) <= {(3, None, 0)}
+    assert len(rows(sample=0)) == 0
+
+
+def test_copies_are_learnt_from_once():
+    r = random.Random(1)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    near, far = [*base], [*base]
+    near[50] = "x"
+    for k in range(0, 200, 9):
+        far[k] = f"y{k}"
+    texts = [" ".join(base), " ".join(near), " ".join(far), None, "", " ".join(base), "a b"]
+    assert toxicity.unlike(texts, 0.8) == [0, 2, 3, 4, 6]
+
+
+def test_beginnings_that_several_words_have():
+    own = toxicity.Lexicon(["abcd--", "word", "efgh-"], [1, 2, 3])
+    assert own.hits({"abcdx"}) == [] and own.hits({"abcdx", "abcdy", "efghi"}) == [0, 2] and own.hits({"word"}) == [1]
+    assert sorted(x for x in toxicity.several({"abcdx", "abcdy"})) == ["abcd--"]
+
+
+def test_slope_of_quality():
+    value = np.linspace(0, 1, 400)
+    assert 5 < quality.slope(value, np.random.default_rng(0).random(400) < 1 / (1 + np.exp(-10 * (value - 0.4)))) < 20
+    assert quality.slope(value, value > 0.5) > 30
+    assert quality.slope(value, np.random.default_rng(0).random(400) < 0.5) == 1.0
+
+
 def test_label_model_finds_the_better_voter():
     r = np.random.default_rng(0)
     truth = r.random(3000) < 0.3
