@@ -6,8 +6,9 @@ two neighbouring ranks are refreshed, until no rank is left. Words of more than
 parts instead, with the same merges in the same order, since scans of a very long word would take quadratic time.
 
 Defined cases: null and empty texts have no tokens and decode to the empty string; the strings of special tokens in
-a text become their ids, as in the library's default; repeated rows are encoded each for itself; other columns of the
-input are ignored or carried along, whatever their names.
+a text become their ids, as in the library's default; very long texts and words are encoded whole; an empty table gives
+an empty result; repeated rows are encoded each for itself; other columns of the input are ignored or carried along,
+whatever their names. A tokenizer file with another normalizer, split or kind of model is refused.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ NONE = 1 << 60
 # others from U+0100 on), and the split pattern.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What a tokenizer file must say besides its vocabulary; the library's defaults where it says nothing.
+FORMAT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: White space of the split pattern; str.split() has U+001C to U+001F besides.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -58,6 +66,10 @@ class Codec:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        wrong = [k for k, x in FORMAT.items() if spec.get(k) != x] + [k for k, x in MODEL.items() if model.get(k, x) != x]
+        wrong += ["added_tokens"] * any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+        if wrong:
+            raise ValueError(f"{path}: not supported: {', '.join(wrong)}")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
