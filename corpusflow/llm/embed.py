@@ -1,25 +1,29 @@
 """Near-duplicate vectors by spherical k-means cells.
 
 Method: spherical k-means, fitted on a bounded sample, assigns every vector to the cell of its nearest centroid, its
-home, and lets it look into its ``PROBES`` next cells. Within a cell, blocks of cosine products in double precision
-compare all that is there with the vectors at home there; only products of at least the threshold are links. The
-components of the links are the groups of copies, and the smallest id represents each.
+home, and lets it look into its ``PROBES`` next cells. Cells are in proportion to the vectors, CELL of them each, up to
+CELLS cells; beyond ONE_LEVEL cells, centroids are fitted and searched in two levels, the nearest BEAM upper cells first.
+Within a cell, blocks of cosine products in double precision compare all that is there with the vectors at home there;
+only products of at least the threshold are links. The components of the links are the groups of copies, and the
+smallest id represents each.
 
-Equal vectors are one class with a weight, so that many copies of one vector cost one. A cell is dealt into blocks of
-at most about BLOCK vectors at home and CHUNK that look in, so that a task row's size does not grow with a cell; a
-block reports each vector's number of links and the smallest id of its part, never the pairs.
+Equal vectors are one class with a weight and a number of its own, so that many copies of one vector cost one. A cell is
+dealt into blocks of at most about BLOCK vectors at home and CHUNK that look in, so that a task row's size does not grow
+with a cell; a block reports each vector's number of links and the smallest number of its part, never the pairs.
 
 Sampling only places the cells: every vector is indexed, and every vector looks for all its links. Links between
 vectors of which neither looks into the other's home are missed; the README has the measured recall.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; a shorter
-vector is filled up with zeros; rows that repeat an id are vectors of their own and count as others; an empty table
-gives an empty result; labels and other columns are ignored.
+vector is filled up with zeros; rows that repeat an id are vectors of their own, which count as others, and their id is
+one node; rows whose id is null are compared like all others; an empty table gives an empty result; labels and other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_keys, split_join
 from .graph import connected
 
 THRESHOLD = 0.9
 PROBES = 8
-#: Bounds of the fit: cells, and sampled vectors for each of them.
-CELLS, SAMPLE = 4096, 16
-BLOCK, CHUNK = 512, 4096
+#: Vectors for each cell, most cells (a model of 34 MB at 64 dimensions), and sampled vectors for each of them.
+CELL, CELLS, SAMPLE = 160, 1 << 16, 8
+#: Cells from which there are two levels, and how many upper cells a vector searches then.
+ONE_LEVEL, BEAM = 1024, 24
+BLOCK, CHUNK = 1024, 4096
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -55,6 +61,8 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Spherical k-means: assignment by cosine, means scaled to unit length."""
+    if not len(sample):
+        return sample
     pick = np.random.default_rng(seed).permutation(len(sample))[:k]
     out = sample[pick].copy()
     for _ in range(rounds):
@@ -66,11 +74,41 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np
     return out
 
 
+class Cells:
+    """Centroids in one or two levels: ``top``, and for each of these the numbers of its cells, which follow each other."""
+
+    def __init__(self, sample: np.ndarray, k: int):
+        if k <= ONE_LEVEL:
+            self.top, self.first, self.all = None, None, centroids(sample, k)
+            return
+        top = centroids(sample, math.isqrt(k))
+        home = np.concatenate([(sample[i : i + 4096] @ top.T).argmax(1) for i in range(0, len(sample), 4096)])
+        parts = [centroids(sample[home == t], max(1, round(k * (home == t).mean()))) for t in range(len(top))]
+        kept = [t for t, x in enumerate(parts) if len(x)]
+        self.top, self.all = top[kept], np.concatenate([parts[t] for t in kept])
+        self.first = np.cumsum([0, *(len(parts[t]) for t in kept)])
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest cells of each vector, the nearest first; -1 where fewer were searched."""
+        if self.top is None:
+            return np.argsort(-(x @ self.all.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+        beam = np.argsort(-(x @ self.top.T), axis=1, kind="stable")[:, :BEAM]
+        found, score = np.full((len(x), beam.shape[1], n), -1, np.int32), np.full((len(x), beam.shape[1], n), -2.0)
+        for t in np.unique(beam):
+            row, place = np.nonzero(beam == t)
+            near = x[row] @ self.all[self.first[t] : self.first[t + 1]].T
+            best = np.argsort(-near, axis=1, kind="stable")[:, :n]
+            found[row, place, : best.shape[1]] = best + self.first[t]
+            score[row, place, : best.shape[1]] = np.take_along_axis(near, best, 1)
+        order = np.argsort(-score.reshape(len(x), -1), axis=1, kind="stable")[:, :n]
+        return np.take_along_axis(found.reshape(len(x), -1), order, 1)
+
+
 def block_links(c: pd.DataFrame, b: pd.DataFrame, cell: int, size: int, threshold: float) -> pd.DataFrame:
     """Links between vectors that are or look in here (c) and a block of those at home here (b): id, links, root."""
     left, right = matrix(pa.array(c["vector"]), size), matrix(pa.array(b["vector"]), size)
     met = left @ right.T >= threshold
-    ids, own = c["rep"].to_numpy(), b["rep"].to_numpy()
+    ids, own = c["class"].to_numpy(), b["class"].to_numpy()
     met &= ids[:, None] != own[None, :]
     i, j = np.nonzero(met)
     home, weight, other = c["home"].to_numpy(), c["weight"].to_numpy(), b["weight"].to_numpy()
@@ -99,54 +137,62 @@ def components(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = P
     value = F.col("embedding").cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", value.alias("vector")).withColumn("valid", F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False)))
-    classes = scratch.table(rows.where("valid").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    valid, bare = rows.where("valid").select("vec_id", "vector"), rows.where("NOT valid").select("vec_id")
+    alone = bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    classes = valid.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("class", F.monotonically_increasing_id())
+    classes = scratch.table(classes, "classes")
     n, size = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    k = min(CELLS, max(1, math.isqrt(n)))
-    probes = min(probes, k - 1)
+        return alone
+    k = min(CELLS, -(-n // CELL))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        table = table.sort_by("rep")
-        found = centroids(matrix(table.column("vector"), size), k)
-        yield pa.record_batch([pa.array(list(found), pa.list_(pa.float64()))], names=["centroid"])
+        table = pa.Table.from_batches(batches).sort_by("order")
+        yield pa.record_batch([pa.array([pickle.dumps(Cells(matrix(table.column("vector"), size), k))])], names=["cells"])
 
-    # at most CELLS * SAMPLE vectors by a hash of their ids
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(k * SAMPLE).select("rep", "vector").repartition(1)
-    model = np.array([x[0] for x in sample.mapInArrow(fit, "centroid array<double>").collect()])
-    k, probes = len(model), min(probes, len(model) - 1)
+    # at most CELLS * SAMPLE vectors by a hash of theirs
+    sample = classes.select(F.xxhash64("vector").alias("order"), "vector").orderBy("order").limit(k * SAMPLE).repartition(1)
+    cells = pickle.loads(sample.mapInArrow(fit, "cells binary").first()[0])
+    model, probes = spark.sparkContext.broadcast(cells), min(probes, len(cells.all) - 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                near = np.argsort(-(matrix(batch.column(2), size) @ model.T), axis=1, kind="stable")[:, : probes + 1].astype(np.int32)
+                near = model.value.nearest(matrix(batch.column(2), size), probes + 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probes + 1), pa.int32()), pa.array(near.ravel()))
-                yield pa.record_batch([*batch.columns, lists], names=["rep", "weight", "vector", "near"])
+                yield pa.record_batch([*batch.columns, lists], names=["class", "weight", "vector", "near"])
 
-    placed = scratch.table(classes.select("rep", "weight", "vector").mapInArrow(assign, "rep long, weight long, vector array<double>, near array<int>"), "placed")
-    looks = placed.select("rep", "weight", F.posexplode("near").alias("order", "cell"))
+    placed = scratch.table(classes.select("class", "weight", "vector").mapInArrow(assign, "class long, weight long, vector array<double>, near array<int>"), "placed")
+    looks = placed.select("class", "weight", F.posexplode("near").alias("order", "cell"))
     # a row for each cell, at most CELLS
-    sizes = looks.groupBy("cell").agg(F.count_if(F.col("order") == 0).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0")
+    sizes = looks.groupBy("cell").agg(F.count_if(F.col("order") == 0).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0 AND cell >= 0")
     sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("own") / BLOCK).alias("blocks"), F.ceil(F.col("all") / CHUNK).alias("chunks")))
-    base = placed.select("rep", "weight", "vector", F.element_at("near", 1).alias("home"), F.col("near").alias("probes"))
+    base = placed.select("class", "weight", "vector", F.element_at("near", 1).alias("home"), F.col("near").alias("probes"))
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    deal = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n))
     at_home = base.withColumn("cell", F.col("home")).join(sizes, "cell").withColumn("block", deal("blocks", 1)).withColumn("chunk", to("chunks")).withColumn("own", F.lit(True))
     look_in = base.withColumn("cell", F.explode("probes")).join(sizes, "cell").withColumn("chunk", deal("chunks", 2)).withColumn("block", to("blocks")).withColumn("own", F.lit(False))
-    columns = ["cell", "block", "chunk", "own", "rep", "weight", "vector", "home", "probes"]
+    columns = ["cell", "block", "chunk", "own", "class", "weight", "vector", "home", "probes"]
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return block_links(frame[~frame["own"]], frame[frame["own"]], int(key[0]), size, threshold)
 
     parts = at_home.select(columns).unionByName(look_in.select(columns)).groupBy("cell", "block", "chunk").applyInPandas(compare, "id long, links long, root long")
     parts = scratch.table(parts, "parts")
-    links = parts.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = connected(parts.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    known = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("valid"))
-    out = rows.join(known, ["vector", "valid"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    links = parts.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
+    edges = parts.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    # an id with several vectors is one node
+    several = valid.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("x"), F.max("vector").alias("y")).where("x <> y").select("vec_id")
+    of = valid.join(several, "vec_id", "left_semi").distinct().join(classes.select("vector", "class"), "vector").select("vec_id", "class")
+    same = of.join(of.groupBy("vec_id").agg(F.min("class").alias("b")), "vec_id").select(F.col("class").alias("a"), "b")
+    labels = connected(edges.unionByName(same), scratch).withColumnRenamed("id", "class")
+    told = classes.join(links, "class", "left").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    told = scratch.table(told.select("vector", "least", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "told")
+    least = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = split_join(told, least, ["component"], hot_keys(told, ["component"])).select("vector", "n_links", "component_id")
+    out = split_join(valid, known, ["vector"], hot_keys(valid, ["vector"])).select("vec_id", "n_links", "component_id")
+    joined = bare.join(out.join(bare.distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("component_id")), "vec_id", "left")
+    return out.unionByName(joined.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
 
 
 COMPONENTS_SQL = """

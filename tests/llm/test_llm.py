@@ -367,6 +367,16 @@ def test_bpe_odd_texts(text):
     assert own.decode(mine) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_refuses_other_formats(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Codec(str(tmp_path / "other.json"))
+
+
 def test_bpe_long_and_short_words_merge_alike(monkeypatch):
     own = bpe.codec(queries.tokenizer_path())
     for w in words(300, 9):
@@ -695,6 +705,24 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert got == {i: (int(link[i].sum()) - 1, int(label[i])) for i in range(len(m))} | {i: (0, i) for i, _, _ in odd}
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.99, 0.05], 0), (2, [0.0, 1.0], 0), (1, None, 0), (3, [0.0, 1.0], 0), (3, [-1.0, 0.1], 0), (None, [-1.0, 0.1], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, weight long").repartition(3)
+    got = sorted(tuple(-1 if y is None else y for y in x) for x in embed.components(vectors).collect())
+    assert got == [(-1, 1, 2), (1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 1, 2)]
+
+
+def test_cells_in_two_levels(monkeypatch):
+    monkeypatch.setattr(embed, "ONE_LEVEL", 10)
+    x = np.random.default_rng(3).normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = embed.Cells(x, 100)
+    assert 80 <= len(cells.all) <= 120
+    near = cells.nearest(x, 5)
+    best = np.argsort(-(x @ cells.all.T), axis=1)[:, :5]
+    assert (near[:, 0] == best[:, 0]).mean() > 0.97 and (near >= 0).all()
+
+
 def test_embeddings_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed.components(none).collect() == []
