@@ -31,10 +31,12 @@ def unseen(links: DataFrame, seen: DataFrame) -> DataFrame:
     return links.join(seen.select("url").distinct(), "url", "left_anti")
 
 
-def until_nothing_new(links: DataFrame) -> DataFrame:
-    """First-seen URLs of the pages before the first one (from the first on) that brings none."""
+def until_nothing_new(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """First-seen URLs of the pages before the first one that brings none: one that is missing, empty, or has known links only.
+
+    ``pages`` has the numbers (page) of all pages asked for, so that a missing one counts.
+    """
     firsts = first_seen(links)
     new = firsts.select("page").distinct()
-    pages = links.select("page").distinct()
     stop = pages.join(new, "page", "left_anti").agg(F.min("page").alias("stop"))
     return firsts.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).drop("stop")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import logging
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..operators import html, merge
 from ..operators.clean import SchemaError
 from ..operators.topics import best_score
@@ -16,6 +18,9 @@ from ..sources import files, web
 from . import pipelines
 
 
+LOG = logging.getLogger("corpusflow")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corpusflow")
     sub = top.add_subparsers(dest="command", required=True)
@@ -27,13 +32,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-details", action="store_true", help="URLs only")
     p.add_argument("--delay-min", type=float, default=web.DELAY_MIN)
     p.add_argument("--delay-max", type=float, default=web.DELAY_MAX)
-    p.add_argument("--existing", default="articles_raw_before")
+    p.add_argument("--existing", help="earlier rows to merge with (default: those at --output)")
     p.add_argument("--output", default="articles_raw")
+    p.add_argument("-v", "--verbose", action="store_true")
     p = sub.add_parser("clean")
     p.add_argument("--input", default="articles_raw")
     p.add_argument("--output", default="articles_clean")
     p.add_argument("--dropped-output", default="articles_dropped")
     p.add_argument("--report-output", default="cleaning_report.json")
+    p.add_argument("-v", "--verbose", action="store_true")
     p = sub.add_parser("stats")
     p.add_argument("--input", default="articles_clean")
     p.add_argument("--report", default="cleaning_report.json")
@@ -52,6 +59,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-features", type=int, default=5000)
     p.add_argument("--max-iter", type=int, default=25)
     p.add_argument("--random-state", type=int, default=42)
+    p.add_argument("--stopword", action="append", default=[], help="a further stop word, such as the site's name; may be given again")
+    p.add_argument("-v", "--verbose", action="store_true")
     return top
 
 
@@ -62,30 +71,41 @@ def topic_range(first: int, last: int, step: int) -> list[int]:
 
 def crawl(spark: SparkSession, args: argparse.Namespace) -> int:
     pages = spark.read.format("web_pages").options(base=args.base, delay_min=args.delay_min, delay_max=args.delay_max)
-    load = lambda urls: pages.option("urls", "\n".join(urls)).load()
+    load = lambda urls, **options: pages.options(urls="\n".join(urls), **options).load().persist()  # noqa: E731 each page is fetched once
     try:
         listing = [r.url for r in web.listing_urls(spark, args.base, args.pages, args.start_page).orderBy("page").collect()]
         order = spark.createDataFrame(list(enumerate(listing)), "page int, page_url string")
-        links = merge.until_nothing_new(html.article_links(load(listing), base=args.base).join(order, "page_url")).orderBy("page", "pos")
+        found = load(listing, listing=True)
+        links = merge.first_seen(html.article_links(found, base=args.base).join(order, "page_url")).orderBy("page", "pos")
         urls = [r.url for r in (links.limit(args.limit) if args.limit else links).collect()]  # as many as are fetched one by one
     except Exception as error:
         if "RobotsUnavailable" in str(error):
+            LOG.error("the robots rules can't be read: nothing is fetched")
             return 2
         raise
+    LOG.info("%d articles on the listing pages", len(urls))
     if not urls:
+        LOG.error("no articles collected")
         return 1
     if args.no_details:
         files.write_csv(spark.createDataFrame([(u,) for u in urls], "url string"), args.output, single=True)
         return 0
-    rows = pipelines.crawl(spark, load(urls), args.existing, dt.datetime.now(dt.timezone.utc).date().isoformat()).persist()
+    fresh = load(urls, listing=False, begun=True)
+    if fresh.isEmpty():
+        LOG.error("no articles collected")
+        return 1
+    rows = pipelines.crawl(spark, fresh, args.existing or args.output, dt.datetime.now(dt.timezone.utc).date().isoformat()).persist()
     pipelines.validate_raw(rows)
-    files.write_csv(rows, args.output, single=True)
-    print(f"{rows.count()} rows, {rows.where(F.col('tags') != '').count()} with tags")
+    n, tagged = rows.count(), rows.where(F.col("tags") != "").count()
+    files.replace_csv(rows, args.output, single=True)
+    print(f"{n} rows, {tagged} with tags")
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    logging.basicConfig(level=logging.DEBUG if args.__dict__.get("verbose") else logging.INFO, format="%(levelname)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName("corpusflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.dataSource.register(web.WebPages)
     try:
@@ -102,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
                 files.write_text(spark, said, args.output)
         else:
             ks = [args.topics] if args.topics else topic_range(*args.topic_range)
-            done = pipelines.topics_files(spark, args.input, args.topics_output, args.articles_output, args.report_output, ks, min_df=args.min_df, max_df=args.max_df, max_features=args.max_features, rounds=args.max_iter, seed=args.random_state, kind=args.vectorizer)
+            done = pipelines.topics_files(spark, args.input, args.topics_output, args.articles_output, args.report_output, ks, min_df=args.min_df, max_df=args.max_df, max_features=args.max_features, rounds=args.max_iter, seed=args.random_state, kind=args.vectorizer, stopwords=lexicon.stopwords(args.stopword))
             print(best_score(done.scores))
     except (FileNotFoundError, SchemaError, ValueError) as error:
         print(error, file=sys.stderr)

@@ -13,7 +13,7 @@ from ..sources import files
 
 
 def crawl(spark: SparkSession, pages: DataFrame, existing: str, scraped_at: str, section: str | None = "blog") -> DataFrame:
-    """Raw rows of ``pages`` merged with the CSV at ``existing``; fresh ones win. It is to be written to another folder."""
+    """Raw rows of ``pages`` merged with the CSV at ``existing``; fresh ones win. Write it with files.replace_csv() where that is the output too."""
     rows = html.article_rows(pages, scraped_at, section).drop("tag_source").withColumn("row_ord", F.monotonically_increasing_id())
     before = files.read_existing(spark, existing).withColumn("row_ord", F.monotonically_increasing_id())
     return merge.sorted_raw(merge.upsert(before, rows)).drop("row_ord")

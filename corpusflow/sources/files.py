@@ -68,6 +68,16 @@ def write_csv(rows: DataFrame, path: str, single: bool = False) -> None:
     (flat.coalesce(1) if single else flat).write.mode("overwrite").options(header=True, escape='"', emptyValue="", encoding="UTF-8").csv(path)
 
 
+def replace_csv(rows: DataFrame, path: str, single: bool = False) -> None:
+    """write_csv() for rows that are read from ``path`` itself: written beside it first, then moved in its place."""
+    spark, beside = rows.sparkSession, f"{path.rstrip('/')}.new"
+    write_csv(rows, beside, single)
+    fs, own = _fs(spark, path)
+    fs.delete(own, True)
+    if not fs.rename(_fs(spark, beside)[1], own):
+        raise OSError(f"{beside} is complete but could not be moved to {path}")
+
+
 def read_json(spark: SparkSession, path: str) -> dict | None:
     """A small JSON document, or None if it is missing or malformed."""
     if not exists(spark, path):

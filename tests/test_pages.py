@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import http.server
 import json
+import threading
 
 import pytest
 
-from corpusflow.operators import clean, html
-from corpusflow.plans import pipelines
+from corpusflow.operators import clean, html, merge
+from corpusflow.plans import cli, pipelines
 from corpusflow.sources import files, web
 
 URL = "https://x.test/blog/post"
@@ -98,6 +100,68 @@ def test_listing_urls(spark):
     assert got == ["https://x.test/blog", "https://x.test/blog?page=2", "https://x.test/blog?page=3"]
 
 
+def test_distinct_keeps_the_order_of_firsts():
+    assert html.distinct(["a", "b", "A", "", "c", "b"]) == ["a", "b", "c"]
+
+
+def test_pages_until_nothing_new(spark):
+    links = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "c"), (2, 1, "a"), (3, 0, "b"), (4, 0, "d"), (6, 0, "e")], "page long, pos long, url string")
+    found = lambda first, last: [r.url for r in merge.until_nothing_new(links, spark.range(first, last + 1).withColumnRenamed("id", "page")).orderBy("page", "pos").collect()]
+    assert found(1, 6) == ["a", "b", "c"]  # the third has known links only
+    assert [r.url for r in merge.until_nothing_new(links.where("page <> 3"), spark.range(1, 7).withColumnRenamed("id", "page")).orderBy("page", "pos").collect()] == ["a", "b", "c"]
+
+
+class Site(http.server.BaseHTTPRequestHandler):
+    """A small site: listing pages with links, of which the second has one new and the third none."""
+
+    pages: dict[str, str] = {}
+    asked: list[str] = []
+
+    def do_GET(self):  # noqa: N802
+        self.asked.append(self.path)
+        body = self.pages.get(self.path)
+        self.send_response(200 if body is not None else 404)
+        self.end_headers()
+        self.wfile.write((body or "").encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def site():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    link = lambda *names: page(body="".join(f'<a href="/blog/{n}">{n}</a>' for n in names))
+    Site.asked.clear()
+    Site.pages = {"/robots.txt": "User-agent: *\nDisallow: /blog/secret", "/blog": link("b", "a", "b", "secret"), "/blog?page=2": link("a", "c"), "/blog?page=3": link("a", "b"), "/blog?page=4": link("d")}
+    Site.pages |= {f"/blog/{n}": page(None, ld({**POST, "headline": f"Title {n}", "datePublished": f"2024-05-0{i}"})) for i, n in enumerate("abc", 1)}
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_crawl_of_a_site_twice(spark, site, tmp_path):
+    out = str(tmp_path / "raw")
+    assert cli.main(["crawl", "--base", site, "--pages", "5", "--output", out]) == 0
+    got = files.load_raw(spark, out).orderBy("row_ord").collect()
+    assert [(r.title, r.url) for r in got] == [(f"Title {n}", f"{site}/blog/{n}") for n in "cba"]
+    listings = [x for x in Site.asked if x == "/blog" or "?page=" in x]
+    assert listings == ["/blog", "/blog?page=2", "/blog?page=3"]  # the fourth is not asked for
+    assert [x for x in Site.asked if x.startswith("/blog/")] == ["/blog/b", "/blog/a", "/blog/c"]
+    # the second run finds another article and a changed one, and keeps the others
+    Site.pages |= {"/blog": page(body='<a href="/blog/e">e</a><a href="/blog/a">a</a>'), "/blog/e": page(None, ld({**POST, "headline": "Title e", "datePublished": "2024-06-01"})), "/blog/a": page(None, ld({**POST, "headline": "Changed a", "datePublished": "2024-05-01"}))}
+    assert cli.main(["crawl", "--base", site, "--pages", "1", "--output", out]) == 0
+    assert [r.title for r in files.load_raw(spark, out).orderBy("row_ord").collect()] == ["Title e", "Title c", "Title b", "Changed a"]
+
+
+def test_crawl_that_finds_nothing(spark, site, tmp_path):
+    Site.pages |= {"/blog": page()}
+    assert cli.main(["crawl", "--base", site, "--pages", "2", "--output", str(tmp_path / "raw")]) == 1
+    del Site.pages["/robots.txt"]
+    assert cli.main(["crawl", "--base", site, "--pages", "2", "--output", str(tmp_path / "raw")]) == 2
+    assert not files.exists(spark, str(tmp_path / "raw"))
+
+
 def test_crawl_merges_pages_with_earlier_rows(spark, tmp_path):
     old = [(f"{URL}{i}", f"Old {i}", "2020-01-0" + str(i + 1), "Ann", "x|y", "Text.", "2026-01-01") for i in (1, 2)]
     before = spark.createDataFrame(old, "url string, title string, published_date string, author string, tags string, excerpt string, scraped_at string")
