@@ -16,7 +16,8 @@ would move many times the corpus, so positions are picked by content, which pick
 4. What is in between (windows near the end of a match) is ranked window by window, with one of each kind of run that
    it may be equal to.
 
-All steps are aggregates and joins of rows: no task holds what shares a rank, and nothing changes with size. Bytes are
+All steps are aggregates and joins of rows: no task holds what shares a rank, nothing changes with size, and runs of very
+frequent ranks are met by a broadcast of these. Bytes are
 judged on the input, and matches never cross documents. Ranks on which bytes are removed have 128 bits of two
 independent hashes at the length in question (whole runs: 96, besides the 64 of the anchor).
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, row_key
+from .common import Scratch, hot_rows, pieces, row_key, split_join
 from .decontam import bounded
 from .vec import BASE, mix, powers
 
@@ -240,13 +241,15 @@ def spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None)
             yield pa.record_batch(columns, names=["rank", "whole", "check", "__key", "start", "n", "anchor"])
 
     every = scratch.table(texts.mapInArrow(find, f"rank long, whole long, check int, {KEY}, start int, n int, anchor int"), "runs")
-    again = every.groupBy("rank").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("rank")
-    left = scratch.table(every.join(again, "rank", "left_semi"), "left")
+    again = scratch.table(every.groupBy("rank").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "ranks")
+    often = F.col("count") > hot_rows(every.count())
+    left = scratch.table(split_join(every, again.select("rank"), ["rank"], again.where(often).select("rank"), "left_semi"), "left")
     scratch.drop("runs")
+    scratch.drop("ranks")
     alike = ["rank", "whole", "check"]
     classes = left.groupBy(alike).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("__key", "start", "n", "anchor")).alias("run"))
     classes = scratch.table(classes.select(*alike, "count", "run.*"), "classes")
-    past = left.join(classes.where("count > 1").select(alike), alike, "left_semi").select("__key", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+    past = split_join(left, classes.where("count > 1").select(alike), alike, classes.where(often).select(alike), "left_semi").select("__key", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
     shared = classes.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("rank")
     open_ = classes.join(shared, "rank", "left_semi").select(F.monotonically_increasing_id().alias("id"), "rank", "__key", "start", "n", "anchor", (F.col("count") > 1).alias("done"))
     open_ = scratch.table(open_, "open")
