@@ -5,6 +5,7 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.operators import clean, html, merge
 from corpusflow.plans import cli, pipelines
@@ -62,10 +63,31 @@ def test_links_of_listings(spark):
     assert [r.url for r in got] == [f"https://x.test/blog/{x}" for x in ("a", "c", "s1", "s3")]
 
 
-def test_article_types():
-    assert html.is_article_type(["Thing", "https://schema.org/NewsArticle"]) and html.is_article_type("BlogPosting")
-    assert not html.is_article_type("WebPage") and not html.is_article_type(None)
-    assert html.jsonld(html.parse(ld({"@graph": [POST, 3]}) + ld("[1, {}]"))) == [POST, {}]
+def test_articles_in_jsonld(spark):
+    many = [
+        ([json.dumps({"@graph": [{"@type": "WebPage"}, POST, 3]})], "LD title"),
+        (["[1, {}]", json.dumps([{"@type": ["Thing", "https://schema.org/NewsArticle"], "headline": "N"}])], "N"),
+        (["{bad", json.dumps({"@type": "WebPage", "headline": "W"})], None),
+        (["null", json.dumps({"@type": None, "headline": "W"}), json.dumps({"headline": "W"})], None),
+        ([json.dumps({"@type": "liveBlogPosting", "headline": ["x"]})], ""),
+        ([], None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(many)], "id int, scripts array<string>").withColumn("node", html.jsonld_article(F.col("scripts")))
+    got = df.select("id", F.when(F.col("node").isNotNull(), html._said(html._part(F.col("node"), "$.headline"))).alias("headline")).orderBy("id").collect()
+    assert [r.headline for r in got] == [want for _, want in many]
+
+
+def test_fields_of_jsonld_and_state(spark):
+    ld_rows = [({"author": {"name": " A  B "}}, "A B"), ({"author": ["C", "D"]}, "C"), ({"author": []}, ""), ({"author": 3}, ""), ({}, "")]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(ld_rows)], "id int, v string").withColumn("v", F.try_parse_json("v"))
+    assert [r[0] for r in df.orderBy("id").select(html.jsonld_author(F.col("v"))).collect()] == [w for _, w in ld_rows]
+    tag_rows = [({"keywords": "a, b,,c", "about": [{"name": "d"}, "e", 3, {"x": 1}]}, ["a", "b", "c", "d", "e"]), ({"articleSection": ["s"], "keywords": {"name": "no"}}, ["s"]), ({}, [])]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(tag_rows)], "id int, v string").withColumn("v", F.try_parse_json("v"))
+    assert [r[0] for r in df.orderBy("id").select(html.jsonld_tags(F.col("v"))).collect()] == [w for _, w in tag_rows]
+    states = [({"category": "A", "subCategories": [{"tag": "B"}, "C", {"tag": 3}, None]}, ["A", "B", "C"]), ({"category": {"tag": "A"}, "subCategories": "no"}, ["A"]), (None, []), ([1], [])]
+    df = spark.createDataFrame([(i, json.dumps({"props": {"pageProps": {"page": x}}})) for i, (x, _) in enumerate(states)], "id int, v string")
+    assert [r[0] for r in df.orderBy("id").select(html.state_tags(html.state_page(F.col("v")))).collect()] == [w for _, w in states]
 
 
 def test_robots_and_retries():
