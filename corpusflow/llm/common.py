@@ -48,8 +48,9 @@ def row_key() -> Column:
     return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.hash("text", "doc_id").alias("y"))
 
 
-#: Most keys that are hot: those with more than 1 / HOT of all rows (and more than HOT_ROWS).
-HOT, HOT_ROWS = 10_000, 256
+#: Most keys that are hot: those with more than 1 / HOT of all rows (and more than HOT_ROWS). Of so few rows as ONE_TASK, a task
+#: can hold all, and no key is hot.
+HOT, HOT_ROWS, ONE_TASK = 10_000, 256, 1 << 17
 
 
 def hot_rows(total: int) -> int:
@@ -57,13 +58,18 @@ def hot_rows(total: int) -> int:
     return max(HOT_ROWS, total // HOT)
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """The hot keys of ``rows``, counted with partial sums before the shuffle."""
-    return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(rows.count())).select(on)
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
+    """The hot keys of ``rows``, counted with partial sums before the shuffle; None if there can't be any."""
+    total = rows.count()
+    if total <= ONE_TASK:
+        return None
+    return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(total)).select(on)
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """A join with ``right``, in which no key repeats. Rows of the hot keys, at most HOT, are met by a broadcast and not shuffled."""
+    if hot is None:
+        return left.join(right, on, how)
     hot = F.broadcast(hot)
     few = F.broadcast(right.join(hot, on, "left_semi"))
     return left.join(hot, on, "left_semi").join(few, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))

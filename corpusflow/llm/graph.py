@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_rows, split_join
+from .common import ONE_TASK, Scratch, hot_rows, split_join
 
 
 def connected(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -21,7 +21,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str = "components") -> D
         around = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
         counted = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         least = counted.select("u", F.least("u", "m").alias("m"))
-        joined = split_join(around, least, ["u"], counted.where(F.col("n") > hot_rows(2 * n)).select("u"))
+        joined = split_join(around, least, ["u"], counted.where(F.col("n") > hot_rows(2 * n)).select("u") if 2 * n > ONE_TASK else None)
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -32,9 +32,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str = "components") -> D
     seen, i = mark(now), 0
     while seen[0]:
         i += 1
-        larger = scratch.table(star(now, seen[0], large=True), f"{name}-{i}-large")
-        after = scratch.table(star(larger, seen[0], large=False), f"{name}-{i}")
-        scratch.drop(f"{name}-{i}-large")
+        after = scratch.table(star(star(now, seen[0], large=True), seen[0], large=False), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
         now, last, seen = after, seen, mark(after)
         if last == seen:

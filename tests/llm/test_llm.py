@@ -299,7 +299,9 @@ def test_hot_keys_are_met_alike(spark, monkeypatch):
     left = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(200)] + [(None, 0)], "key long, v long")
     right = spark.createDataFrame([(k, -k) for k in range(150)], "key long, w long")
     plain = {how: sorted(map(str, left.join(right, "key", how).collect())) for how in ("inner", "left", "left_anti", "left_semi")}
+    assert common.hot_keys(left, ["key"]) is None
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "ONE_TASK", 10)
     hot = common.hot_keys(left, ["key"])
     assert hot.count() == 3
     assert plain == {how: sorted(map(str, common.split_join(left, right, ["key"], hot, how).collect())) for how in plain}
