@@ -15,8 +15,12 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+#: White space of any kind, as (?U)\\s has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words(c: Column) -> Column:
@@ -139,14 +143,22 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def tokens(c: Column) -> Column:
-    """Lower-case tokens: matches of the token pattern without marks at their ends, no numbers, variants in one spelling, its words apart."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(f"({lexicon.TOKEN})"), F.lit(1))
-    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "^[-_/]+|[-_/]+$", ""), r"\.+$", ""))
-    kept = F.filter(bare, lambda x: (x != "") & ~x.rlike(lexicon.NUMBER))
+def raw_tokens(c: Column) -> Column:
+    """Matches of the token pattern in lower case."""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"({lexicon.TOKEN})"), F.lit(1))
+
+
+def token_parts(x: Column) -> Column:
+    """The tokens that a match stands for: without marks at its ends, none for a number, variants in one spelling, its words apart."""
+    bare = F.rtrim(F.btrim(x, F.lit("-_/")), F.lit("."))
     # only the few variants are looked up
-    folded = F.transform(kept, lambda x: F.when(x.isin(list(lexicon.CANONICAL)), F.element_at(_map(lexicon.CANONICAL), x)).otherwise(x))
-    return F.flatten(F.transform(folded, lambda x: F.split(x, " ")))
+    folded = F.when(bare.isin(list(lexicon.CANONICAL)), F.element_at(_map(lexicon.CANONICAL), bare)).otherwise(bare)
+    return F.when((bare == "") | (F.translate(bare, lexicon.NUMBER_MARKS, "") == ""), F.array().cast("array<string>")).otherwise(F.split(folded, " "))
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case tokens of a text, in order."""
+    return F.flatten(F.transform(raw_tokens(c), token_parts))
 
 
 def depluralize(c: Column) -> Column:

@@ -1,7 +1,9 @@
 """Tokens, vocabulary, lemmas and term weights of a corpus.
 
-Lemmas depend on what the corpus attests, so they are found once for each distinct token, by joins of the vocabulary
-with itself, and joined back; the documents' tokens are never gathered.
+What is done to a token depends on the token, and for lemmas on what the corpus attests, but not on its place. So the
+distinct matches of the token pattern are counted first, cleaned and lemmatized once each, and the documents' matches are
+looked up in that small table: the most frequent words, a bounded number, by a broadcast, and only the others by a join
+that shuffles them. The documents' tokens are never gathered.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ def corpus(articles: DataFrame) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, token."""
-    return docs.select(key, F.posexplode(C.tokens(F.col(text))).alias("pos", "token"))
+    """key, pos, raw: matches of the token pattern."""
+    return docs.select(key, F.posexplode(C.raw_tokens(F.col(text))).alias("pos", "raw"))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """token and n of every token that the matches stand for."""
+    counts = rows.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("n", F.explode(C.token_parts(F.col("raw"))).alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def is_content(token: Column, stopwords: list[str]) -> Column:
@@ -51,15 +55,27 @@ def lemmas(vocab: DataFrame, protected: list[str] | None = None) -> DataFrame:
     return base.join(found, "token", "left").select("token", F.coalesce("fixed", "verb", "base").alias("lemma"))
 
 
+#: The most frequent words, which are met by a broadcast.
+FREQUENT = 10_000
+
+
 def content_lemmas(rows: DataFrame, stopwords: list[str], key: str) -> DataFrame:
-    """key, pos, lemma of the tokens that carry content, before and after lemmatization."""
-    own = lemmas(vocabulary(rows)).where(is_content(F.col("lemma"), stopwords))
-    return rows.where(~F.col("token").isin(stopwords)).join(own, "token").select(key, "pos", F.col("lemma").alias("token"))
+    """key, pos, tokens: the lemmas of each match that carry content, before and after lemmatization; matches without any are left out."""
+    counts = rows.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.select("raw", F.posexplode(C.token_parts(F.col("raw"))).alias("at", "token"))
+    own = lemmas(parts.select("token").distinct()).where(is_content(F.col("lemma"), stopwords))
+    content = parts.where(~F.col("token").isin(stopwords)).join(own, "token").groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("at", "lemma"))).alias("x"))
+    # frequent words that carry none have an empty list, so that they are met like all others
+    words = counts.join(content, "raw", "left").select("raw", "n", F.coalesce("x.lemma", F.array().cast("array<string>")).alias("tokens"))
+    often = words.orderBy(F.desc("n"), "raw").limit(FREQUENT)
+    met = rows.join(F.broadcast(often.select("raw", F.col("tokens").alias("met"))), "raw", "left")
+    rare = met.where("met IS NULL").join(words.select("raw", "tokens"), "raw").select(key, "pos", "tokens")
+    return met.where("met IS NOT NULL").select(key, "pos", F.col("met").alias("tokens")).unionByName(rare).where(F.size("tokens") > 0)
 
 
 def gathered(rows: DataFrame, key: str) -> DataFrame:
     """key and its tokens in order; a document's own tokens only."""
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select(key, F.col("x.token").alias("tokens"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("x")).select(key, F.flatten("x.tokens").alias("tokens"))
 
 
 def ngrams(docs: DataFrame, key: str) -> DataFrame:

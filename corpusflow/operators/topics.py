@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,49 +157,82 @@ def _expectation(gamma: np.ndarray) -> np.ndarray:
     return np.exp(_digamma(gamma) - _digamma(gamma.sum(-1, keepdims=True)))
 
 
-def _infer(ids: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """gamma of one document, and its part of the sufficient statistics."""
-    gamma, b = np.ones(len(beta)), beta[:, ids]
+def _infer(rows: list[tuple[np.ndarray, np.ndarray]], beta: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gamma of non-empty documents (ids, weights), and of all their ids, one after another, the parts of the sufficient statistics.
+
+    All documents are refined together; one that has converged is left as it is.
+    """
+    sizes = np.array([len(i) for i, _ in rows])
+    ids, counts = np.concatenate([i for i, _ in rows]), np.concatenate([w for _, w in rows])
+    b = np.ascontiguousarray(beta[:, ids].T)
+    gamma = np.ones((len(rows), len(beta)))
+    open_, n, at, of = np.arange(len(rows)), sizes, b, counts
     for _ in range(rounds):
-        theta = _expectation(gamma)
-        new = alpha + theta * (b @ (counts / (theta @ b + 1e-100)))
-        done, gamma = np.abs(new - gamma).mean() < tol, new
-        if done:
+        theta = _expectation(gamma[open_])
+        each = np.repeat(theta, n, 0)
+        shares = at * (of / ((each * at).sum(1) + 1e-100))[:, None]
+        new = alpha + theta * np.add.reduceat(shares, np.cumsum(n) - n)
+        moved = np.abs(new - gamma[open_]).mean(1) >= tol
+        gamma[open_] = new
+        if not moved.any():
             break
-    theta = _expectation(gamma)
-    return gamma, np.outer(theta, counts / (theta @ b + 1e-100)) * b
-
-
-def fit_lda(vectors: DataFrame, k: int, n_terms: int, rounds: int = 25, seed: int = 42) -> np.ndarray:
-    """Topic-term parameters after ``rounds`` passes of batch variational Bayes (Blei et al. 2003) with priors 1/k.
-
-    ``vectors`` has ids and weights, arrays of each document. A pass is one job: tasks sum their documents' statistics,
-    and these, k by n_terms numbers (n_terms is bounded by the vocabulary's cap), are added up in a tree of aggregates
-    by topic. The model is k rows on the driver.
+        if not moved.all():
+            kept = np.repeat(moved, n)
+            open_, n, at, of = open_[moved], n[moved], at[kept], of[kept]
+    each = np.repeat(_expectation(gamma), sizes, 0) * b
+    return gamma, ids, each * (counts / (each.sum(1) + 1e-100))[:, None]
+
+
+def _batches(frame: pd.DataFrame, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Places of a frame's non-empty documents, and their ids and weights, with about ``limit`` ids at a time."""
+    places, rows, size = [], [], 0
+    for place, (ids, weights) in enumerate(zip(frame["ids"], frame["weights"])):
+        if len(ids):
+            places.append(place)
+            rows.append((np.asarray(ids, np.int64), np.asarray(weights, float)))
+            size += len(ids)
+        if size >= limit:
+            yield np.array(places), rows
+            places, rows, size = [], [], 0
+    if rows:
+        yield np.array(places), rows
+
+
+#: Statistics are multiples of 1 / EXACT, so that their sums are the same in any order.
+EXACT = 2.0**24
+
+
+def fit_ldas(vectors: DataFrame, ks: list[int], n_terms: int, rounds: int = 25, seed: int = 42) -> dict[int, np.ndarray]:
+    """Topic-term parameters of a model for each number of topics, after ``rounds`` passes of batch variational Bayes
+    (Blei et al. 2003) with priors 1/k.
+
+    ``vectors`` has ids and weights, arrays of each document. A pass is one job for all models: tasks sum their documents'
+    statistics, and these, k by n_terms numbers (n_terms is bounded by the vocabulary's cap), are added up by Spark's
+    vector sums, which are combined before the shuffle. The models are rows on the driver, k of each.
     """
-    prior = 1.0 / k
-    lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, n_terms))
+    lams = {k: np.random.default_rng(seed).gamma(100.0, 0.01, (k, n_terms)) for k in ks}
     for _ in range(rounds):
-        beta = _expectation(lam)
+        betas = {k: _expectation(lam) for k, lam in lams.items()}
 
-        def part(frames: Iterator[pd.DataFrame], beta=beta) -> Iterator[pd.DataFrame]:
-            total = np.zeros((k, n_terms))
+        def part(frames: Iterator[pd.DataFrame], betas=betas) -> Iterator[pd.DataFrame]:
+            totals = {k: np.zeros((k, n_terms)) for k in betas}
             for frame in frames:
-                for ids, weights in zip(frame["ids"], frame["weights"]):
-                    ids = np.asarray(ids, np.int64)
-                    if len(ids):
-                        total[:, ids] += _infer(ids, np.asarray(weights, float), beta, prior)[1]
-            yield pd.DataFrame({"topic": np.arange(k), "stats": list(total)})
+                for _, rows in _batches(frame):
+                    for k, beta in betas.items():
+                        _, ids, stats = _infer(rows, beta, 1.0 / k)
+                        for topic, own in enumerate(np.rint(stats * EXACT).T):
+                            totals[k][topic] += np.bincount(ids, own, n_terms) / EXACT
+            for k, total in totals.items():
+                yield pd.DataFrame({"model": k, "topic": np.arange(k), "stats": list(total)})
 
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            # in a fixed order, so that equal runs give equal sums
-            rows = sorted(frame["stats"].map(lambda x: np.asarray(x)), key=lambda x: x.tobytes())
-            return pd.DataFrame({"topic": frame["topic"][:1], "stats": [np.sum(rows, axis=0)]})
+        sums = vectors.select("ids", "weights").mapInPandas(part, "model int, topic int, stats array<double>")
+        for r in sums.groupBy("model", "topic").agg(Summarizer.sum(array_to_vector(F.col("stats"))).alias("stats")).collect():
+            lams[r.model][r.topic] = 1.0 / r.model + r.stats.toArray()
+    return lams
 
-        sums = vectors.select("ids", "weights").mapInPandas(part, "topic int, stats array<double>").groupBy("topic").applyInPandas(add, "topic int, stats array<double>")
-        for r in sums.collect():
-            lam[r.topic] = prior + np.asarray(r.stats)
-    return lam
+
+def fit_lda(vectors: DataFrame, k: int, n_terms: int, rounds: int = 25, seed: int = 42) -> np.ndarray:
+    return fit_ldas(vectors, [k], n_terms, rounds, seed)[k]
 
 
 def infer_lda(vectors: DataFrame, lam: np.ndarray, key: str) -> DataFrame:
@@ -206,8 +241,9 @@ def infer_lda(vectors: DataFrame, lam: np.ndarray, key: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            gamma = [_infer(np.asarray(i, np.int64), np.asarray(w, float), beta, 1.0 / k)[0] if len(i) else np.ones(k) for i, w in zip(frame["ids"], frame["weights"])]
-            out = np.array(gamma).reshape(-1, k)
+            out = np.ones((len(frame), k))
+            for places, rows in _batches(frame):
+                out[places] = _infer(rows, beta, 1.0 / k)[0]
             out = out / out.sum(1, keepdims=True)
             yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), k), "topic_id": np.tile(np.arange(k), len(frame)), "prob": out.ravel()})
 
@@ -229,10 +265,8 @@ def perplexity(vectors: DataFrame, lam: np.ndarray) -> float:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = n = 0.0
         for frame in frames:
-            for ids, w in zip(frame["ids"], frame["weights"]):
-                ids, w = np.asarray(ids, np.int64), np.asarray(w, float)
-                if len(ids):
-                    gamma = _infer(ids, w, beta, 1.0 / k)[0]
+            for _, rows in _batches(frame):
+                for gamma, (ids, w) in zip(_infer(rows, beta, 1.0 / k)[0], rows):
                     total += float(w @ np.log((gamma / gamma.sum()) @ phi[:, ids] + 1e-100))
                     n += float(w.sum())
         yield pd.DataFrame({"total": [total], "n": [n]})
@@ -254,11 +288,9 @@ def topic_weights(spark, lam: np.ndarray, terms: list[str]) -> DataFrame:
 
 def select_topics(vectors: DataFrame, terms: DataFrame, names: list[str], candidates: list[int], key: str, n_docs: int, rounds: int = 25, seed: int = 42, n: int = 10) -> tuple[list[dict], dict[int, np.ndarray]]:
     """Scores of each feasible number of topics, and the models; the best has the highest coherence (the first of equals)."""
-    spark, scores, models = vectors.sparkSession, [], {}
-    for k in candidates:
-        if not 2 <= k <= n_docs:
-            continue
-        models[k] = lam = fit_lda(vectors, k, len(names), rounds, seed)
+    spark, scores = vectors.sparkSession, []
+    models = fit_ldas(vectors, [k for k in candidates if 2 <= k <= n_docs], len(names), rounds, seed)
+    for k, lam in models.items():
         own = umass(top_terms(topic_weights(spark, lam, names), n), terms, key).agg(F.avg("coherence")).first()[0]
         scores.append({"n_topics": k, "coherence_umass": float("nan") if own is None else own, "perplexity": perplexity(vectors, lam)})
     if not scores:

@@ -6,6 +6,7 @@ documents' sources, so that what follows from assignments can be checked without
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import lexicon
 from .operators import clean, graph, html, merge, stats, text, topics
-from .sources import web
+from .sources import files, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +67,14 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.with_derived(marked(spark, sf_dir).where("drop_reason IS NULL").drop("drop_reason"))
 
 
+def _folder(spark, name: str) -> str:
+    """A folder for a query's files, in the one that the session shares; a local one where Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None):
     """Registers a function under its name, with the same in SQL."""
 
@@ -185,21 +194,14 @@ def recent_12m(spark, d):
 # --- merging, pages, links ----------------------------------------------------------------------------------------
 
 
-@query(f"""{WITH_RAW}, sides AS (SELECT *, 0 AS side FROM art WHERE row_ord % 2 = 0 UNION ALL SELECT * REPLACE ('new ' || title AS title), 1 AS side FROM art WHERE row_ord % 4 = 0)
-SELECT * EXCLUDE (side, k) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY side DESC, row_ord DESC) AS k FROM sides WHERE url <> '') WHERE k = 1""")
-def upsert_merge(spark, d):
-    rows = raw(spark, d)
-    return merge.sorted_raw(merge.upsert(rows.where("row_ord % 2 = 0"), rows.where("row_ord % 4 = 0").withColumn("title", F.concat(F.lit("new "), "title"))))
-
-
 #: Every third URL of the fresh side is one that only this side has.
 _FRESH_URL = "CASE WHEN row_ord % 3 = 0 AND url <> '' THEN concat(url, '-new') ELSE url END"
 
 
 @query(f"""{WITH_RAW}, sides AS (SELECT *, 0 AS side FROM art UNION ALL SELECT * REPLACE ('new ' || title AS title, {_FRESH_URL} AS url), 1 AS side FROM art)
 SELECT * EXCLUDE (side, k) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY side DESC, row_ord DESC) AS k FROM sides WHERE url <> '') WHERE k = 1""")
-def upsert_merge_whole(spark, d):
-    """All rows on both sides, where upsert_merge has the even ones: URLs of both sides, of the earlier and of the fresh one only."""
+def upsert_merge(spark, d):
+    """All rows on both sides: URLs of both sides, of the earlier and of the fresh one only."""
     rows = raw(spark, d)
     return merge.sorted_raw(merge.upsert(rows, rows.withColumn("title", F.concat(F.lit("new "), "title")).withColumn("url", F.expr(_FRESH_URL))))
 
@@ -283,14 +285,147 @@ def first_paragraph(spark, d):
     return pages(spark, d).select("page_id", C.excerpt(C.clean_text(F.regexp_replace(F.regexp_extract("html", _P, 1), "<[^>]*>", " "))).alias("paragraph"))
 
 
-@query()
+_ID = "CAST(page_id AS VARCHAR(20))"
+#: Pages with what they lack, alike in Spark and DuckDB: by number, nothing, JSON-LD, meta tags, a state, too many keywords, tag links.
+LEVEL_PAGES = {
+    "page_id": "page_id",
+    "url": "url",
+    "html": f"""replace(replace(CASE WHEN page_id % 6 = 3 THEN replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') ELSE html END, '</head>', concat(CASE page_id % 6
+ WHEN 1 THEN concat('<script type="application/ld+json">{{"@graph": [{{"@type": "WebPage"}}, {{"@type": ["Thing", "BlogPosting"], "headline": "LD  ', {_ID}, '", "datePublished": "2024-05-21T23:00:00-05:00", "author": [{{"name": "Bob ', {_ID}, '"}}], "description": " Described ', {_ID}, '", "keywords": "a, B,, b, A', {_ID}, '"}}]}}</script>')
+ WHEN 2 THEN concat('<meta property="og:title" content="Meta ', {_ID}, '"><meta property="article:published_time" content="May 3rd, 2021"><meta name="author" content="https://x.test/ann"><meta name="description" content="Meta text ', {_ID}, '">')
+ WHEN 3 THEN concat('<script id="__NEXT_DATA__" type="application/json">{{"props": {{"pageProps": {{"page": {{"title": "State ', {_ID}, '", "publishedAt": "2020/1/5", "author": {{"fullName": "Carl ', {_ID}, '"}}, "category": {{"tag": "AI"}}, "subCategories": [{{"tag": "LLM"}}, "Tools", "ai"]}}}}}}}}</script>')
+ WHEN 4 THEN '<script type="application/ld+json">[{{"@type": "NewsArticle", "headline": "Many", "keywords": ["k1","k2","k3","k4","k5","k6","k7","k8","k9","k10","k11","k12","k13"]}}]</script>' ELSE '' END,
+ CASE WHEN page_id % 6 IN (2, 4) THEN concat('<meta property="article:tag" content="M1"><meta property="article:tag" content="m ', {_ID}, '">') ELSE '' END, '</head>')),
+ '<article>', concat('<article>', CASE page_id % 6 WHEN 2 THEN concat('<a rel="author" href="/ann">Ann ', {_ID}, '</a>')
+ WHEN 5 THEN concat('<div class="post-tags"><a href="/blog/tag/x">X</a><a href="/blog/tag/y">See more</a><a href="/tags/z">Z ', {_ID}, '</a></div>') ELSE '' END))""",
+}
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{{A0}}\x{{85}}]+', ' ', 'g'))"""
+_HEADING = _PLAIN.format("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")
+# a bold part that is not closed keeps the first paragraph open to the article's end
+_TEXT = _PLAIN.format("regexp_extract(html, '(?s)<article.*?(<p>.*)</article>', 1)")
+
+
+@query(f"""SELECT url, CASE page_id % 6 WHEN 1 THEN 'LD ' || page_id WHEN 2 THEN 'Meta ' || page_id WHEN 3 THEN 'State ' || page_id WHEN 4 THEN 'Many' ELSE {_HEADING} END AS title,
+  CASE page_id % 6 WHEN 1 THEN '2024-05-21' WHEN 2 THEN '2021-05-03' WHEN 3 THEN '2020-01-05' ELSE '' END AS published_date,
+  CASE page_id % 6 WHEN 1 THEN 'Bob ' || page_id WHEN 2 THEN 'Ann ' || page_id WHEN 3 THEN 'Carl ' || page_id ELSE '' END AS author,
+  CASE page_id % 6 WHEN 1 THEN 'a|B|A' || page_id WHEN 2 THEN 'M1|m ' || page_id WHEN 3 THEN 'AI|LLM|Tools' WHEN 4 THEN 'M1|m ' || page_id WHEN 5 THEN 'X|Z ' || page_id ELSE '' END AS tags,
+  CASE page_id % 6 WHEN 1 THEN 'Described ' || page_id WHEN 2 THEN 'Meta text ' || page_id ELSE CASE WHEN length({_TEXT}) >= 40 THEN substr({_TEXT}, 1, 500) ELSE '' END END AS excerpt, '2026-08-16' AS scraped_at,
+  CASE page_id % 6 WHEN 1 THEN 'json-ld' WHEN 2 THEN 'meta' WHEN 3 THEN '__NEXT_DATA__' WHEN 4 THEN 'meta' WHEN 5 THEN 'html' ELSE 'none' END AS tag_source FROM pages""")
 def parse_pages(spark, d):
-    return html.article_rows(pages(spark, d), scraped_at="2026-08-16")
+    """Every level of every field; each page has what makes one of them the first."""
+    return html.article_rows(pages(spark, d).selectExpr(*(f"{sql} AS {name}" for name, sql in LEVEL_PAGES.items())), scraped_at="2026-08-16")
 
 
-@query()
+#: Listing pages: links with repeats and such as are no articles; a state with slugs; nothing.
+LISTING_HTML = f"""replace(html, '<article>', concat('<article>', CASE page_id % 3 WHEN 0 THEN concat('<a href="/blog/p1-', {_ID}, '">1</a><a href="/blog/p2-', {_ID}, '/?x=1#f">2</a><a href="/blog/P1-', {_ID}, '">1</a><a href="/blog/tags">t</a><a href="https://other.test/blog/x">o</a><a href="/blog/p1-', {_ID}, '/">1</a><a href="/blog/a/b">d</a><a href="/news/n">n</a><a href="mailto:x">m</a>')
+ WHEN 1 THEN concat('<script id="__NEXT_DATA__">{{"z": [{{"slug": "s1-', {_ID}, '", "title": "S"}}, {{"slug": "no"}}], "a": {{"deep": [{{"slug": "/s2-', {_ID}, '/", "title": "T"}}]}}}}</script>') ELSE '' END))"""
+
+
+@query("""SELECT url AS page_url, CAST(i AS BIGINT) AS pos, regexp_extract(url, '^([a-zA-Z]+://)', 1) || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || '/blog/' || CASE page_id % 3 WHEN 0 THEN 'p' ELSE 's' END || (i + 1) || '-' || page_id AS url
+FROM pages, range(2) AS t(i) WHERE page_id % 3 < 2""")
 def parse_page_links(spark, d):
-    return html.article_links(pages(spark, d), section=None)
+    found = html.article_links(pages(spark, d).select("url", F.expr(LISTING_HTML).alias("html")))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH {_HREF}, f AS (SELECT href, min(page_id) AS page, arg_min(pos, (page_id, pos)) AS pos FROM links GROUP BY href),
+stop AS (SELECT min(page) AS stop FROM (SELECT page_id AS page FROM pages UNION SELECT max(page_id) + 1 FROM pages) WHERE page NOT IN (SELECT page FROM f))
+SELECT href AS url, page, CAST(pos AS BIGINT) AS pos FROM f, stop WHERE page < stop""")
+def listing_until_nothing_new(spark, d):
+    """The walk over listing pages, of which one more than there are is asked for."""
+    own = pages(spark, d).select(F.col("page_id").alias("page"))
+    asked = own.unionByName(own.agg((F.max("page") + 1).alias("page")))
+    found = merge.until_nothing_new(_links(spark, d).select(F.col("href").alias("url"), F.col("page_id").alias("page"), "pos"), asked)
+    return found.select("url", "page", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""{WITH_RAW}, fresh AS (SELECT 'Changed ' || page_id AS title, 'https://www.example.com/blog/post-' || (2 * page_id) AS url, '2024-05-21' AS published_date, 'Bob' AS author, 'a' AS tags, 'Text.' AS excerpt, '2026-09-01' AS scraped_at FROM pages),
+both_ AS (SELECT 1 AS side, page_id AS o, f.* FROM pages JOIN fresh f ON f.title = 'Changed ' || page_id UNION ALL SELECT 0, row_ord, * EXCLUDE (row_ord) FROM art WHERE url <> '')
+SELECT * EXCLUDE (side, o, k) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY side DESC, o DESC) AS k FROM both_) WHERE k = 1""")
+def crawl_merge(spark, d):
+    """What a crawl writes: rows of its pages merged with earlier rows, pages winning."""
+    said = """concat('<script type="application/ld+json">{"@type": "Article", "headline": "Changed ', CAST(page_id AS VARCHAR(20)), '", "datePublished": "2024-05-21", "author": "Bob", "keywords": "a", "description": "Text."}</script>', html)"""
+    fresh = pages(spark, d).selectExpr("concat('https://www.example.com/blog/post-', CAST(2 * page_id AS VARCHAR(20))) AS url", f"{said} AS html", "page_id AS row_ord")
+    rows = html.article_rows(fresh, "2026-09-01").drop("tag_source").join(fresh.select("url", "row_ord"), "url")
+    return merge.sorted_raw(merge.upsert(raw(spark, d), rows)).drop("row_ord")
+
+
+@query(f"""{WITH_RAW}, u AS (SELECT row_ord, CASE row_ord % 5 WHEN 0 THEN url WHEN 1 THEN replace(url, '/blog/', '/news/') WHEN 2 THEN url || '/more' WHEN 3 THEN 'https://www.example.com/blog/Tags' ELSE 'https://WWW.example.com/blog/x?page=2' END AS url FROM art)
+SELECT row_ord, row_ord % 5 IN (0, 4) AS is_article FROM u""")
+def article_url_section(spark, d):
+    """Article URLs of one section."""
+    url = F.expr("CASE row_ord % 5 WHEN 0 THEN url WHEN 1 THEN replace(url, '/blog/', '/news/') WHEN 2 THEN concat(url, '/more') WHEN 3 THEN 'https://www.example.com/blog/Tags' ELSE 'https://WWW.example.com/blog/x?page=2' END")
+    return raw(spark, d).select("row_ord", F.coalesce(C.is_article_url(url, "www.example.com", "blog"), F.lit(False)).alias("is_article"))
+
+
+# --- sources, sinks, reports and orders --------------------------------------------------------------------------------
+
+
+#: Fields with quotes, separators and line breaks.
+_QUOTED = "concat('say \"', title, '\", so', chr(10), author, ', \"\"')"
+
+
+@query(f"{WITH_RAW} SELECT {_QUOTED} AS title, url, published_date, CAST(row_ord AS VARCHAR) AS author, tags, excerpt, scraped_at FROM art")
+def csv_round_trip(spark, d):
+    """Raw rows written as CSV and scanned again."""
+    path = _folder(spark, "csv")
+    rows = raw(spark, d).withColumn("title", F.expr(_QUOTED)).withColumn("author", F.col("row_ord").cast("string"))
+    files.write_csv(rows.drop("row_ord"), path)
+    return files.load_raw(spark, path).drop("row_ord")
+
+
+@query(f"{WITH_CLEAN} SELECT url, tags, CAST(published_at AS VARCHAR) AS published_at, published_year, tag_count, array_to_string({_TAGS}, ',') AS tags_list FROM cleaned")
+def clean_csv_round_trip(spark, d):
+    """Clean rows written as CSV and scanned again, with their types."""
+    path = _folder(spark, "clean-csv")
+    files.write_csv(clean.clean(raw(spark, d)).drop("row_ord"), path)
+    return files.load_clean(spark, path).select("url", "tags", F.col("published_at").cast("string").alias("published_at"), "published_year", "tag_count", F.array_join("tags_list", ",").alias("tags_list"))
+
+
+_REASON_RANK = f"list_position([{', '.join(repr(x) for x in clean.REASONS)}], drop_reason)"
+
+
+@query(f"""{WITH_MARKED}, n AS (SELECT count(*) AS total, count(drop_reason) AS lost FROM marked),
+x AS (SELECT drop_reason, url, row_number() OVER (PARTITION BY drop_reason ORDER BY row_ord) AS k, count(*) OVER (PARTITION BY drop_reason) AS n FROM marked WHERE drop_reason IS NOT NULL),
+r AS (SELECT drop_reason, any_value(n) AS n, string_agg(url, ', ' ORDER BY k) AS shown FROM x WHERE k <= 3 GROUP BY drop_reason),
+l AS (SELECT 1 AS o, 'rows in : ' || total AS line FROM n UNION ALL SELECT 2, 'rows out: ' || (total - lost) FROM n UNION ALL SELECT 3, 'removed : ' || lost FROM n
+ UNION ALL SELECT 3 + {_REASON_RANK}, '  - ' || drop_reason || ': ' || n || '  (e.g. ' || shown || ')' FROM r)
+SELECT row_number() OVER (ORDER BY o) AS number, line FROM l""")
+def cleaning_report(spark, d):
+    """The report of a cleaning as JSON, read again and told line by line."""
+    path = _folder(spark, "report.json")
+    files.write_json(spark, clean.report(marked(spark, d)), path)
+    lines = clean.report_text(files.read_json(spark, path)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "number long, line string")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with their places in the order they are in."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])).toDF(f"place long, {schema}")
+
+
+@query(f"{WITH_CLEAN} SELECT row_number() OVER (ORDER BY published_at DESC, url) AS place, url FROM cleaned")
+def clean_order(spark, d):
+    return _numbered(clean.clean(raw(spark, d)).select("url"))
+
+
+@query(f"""{WITH_RAW}, u AS (SELECT url, arg_max(published_date, row_ord) AS published_date FROM art WHERE url <> '' GROUP BY url) SELECT row_number() OVER (ORDER BY published_date DESC, url DESC) AS place, url FROM u""")
+def merge_order(spark, d):
+    rows = raw(spark, d)
+    return _numbered(merge.sorted_raw(merge.upsert(rows.limit(0), rows)).select("url"))
+
+
+@query(f"""{WITH_RAW} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY row_ord DESC) AS k FROM art WHERE url <> '') WHERE k = 1""")
+def upsert_stream(spark, d):
+    """The table that a stream of all rows leaves."""
+    from .streaming import upserts
+
+    path, source = _folder(spark, "stream"), documents(spark, d)
+    rows = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parque[t]")  # as a pattern, it may be one file
+    own = clean.required(rows.selectExpr(*(f"{sql} AS {name}" for name, sql in ARTICLES.items())), ("row_ord",))
+    upserts.upsert_stream(own, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return upserts.latest(spark, f"{path}/table")
 
 
 # --- scalar functions ---------------------------------------------------------------------------------------------
@@ -319,29 +454,12 @@ def parse_date(spark, d):
     return documents(spark, d).select("doc_id", C.parse_date(F.expr(_SAMPLE)).alias("parsed"))
 
 
-_WORDS20 = "[{0}]"
-
-
-@query("""WITH w AS (SELECT doc_id, list_slice(string_split(text, ' '), 1, 40) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: x <> '' AND list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM w""")
-def dedupe_ci(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(C.dedupe_ci(F.slice(F.split("text", " "), 1, 40)), " ").alias("words"))
-
-
-@query(rf"""WITH w AS (SELECT doc_id, list_filter(list_transform(list_slice(string_split(text, ' '), 1, 1 + doc_id % 20), lambda x: trim(regexp_replace(x, '[\s\x{{85}}\x{{A0}}]+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents),
-k AS (SELECT doc_id, list_filter(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), lambda x: NOT list_contains({_NO_TAGS}, lower(x))) AS a FROM w)
-SELECT doc_id, CASE WHEN len(a) <= 12 THEN array_to_string(a, '|') ELSE '' END AS tags FROM k""")
-def limit_tags(spark, d):
-    words = F.slice(F.split("text", " "), F.lit(1), (F.lit(1) + F.col("doc_id") % 20).cast("int"))
-    return documents(spark, d).select("doc_id", F.array_join(C.limit_tags(words), "|").alias("tags"))
-
-
 _FIRSTS = r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), c AS (SELECT doc_id, i, {0} AS x FROM w),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS r FROM c WHERE x <> '') WHERE r = 1)"""
 
 
 @query(f"{_FIRSTS.format('x')} SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(words, '') END AS words FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) USING (doc_id)")
-def dedupe_ci_whole(spark, d):
-    """All words of each text, where dedupe_ci takes 40."""
+def dedupe_ci(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(C.dedupe_ci(F.split("text", " ")), " ").alias("words"))
 
 
@@ -349,8 +467,7 @@ _CLEANED = r"trim(regexp_replace(x, '[\s\x{85}\x{A0}]+', ' ', 'g'))"
 
 
 @query(f"{_FIRSTS.format(_CLEANED)} SELECT d.doc_id, coalesce(tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN count(*) <= 12 THEN string_agg(x, '|' ORDER BY i) ELSE '' END AS tags FROM f WHERE NOT list_contains({_NO_TAGS}, lower(x)) GROUP BY doc_id) USING (doc_id)")
-def limit_tags_whole(spark, d):
-    """All words of each text, where limit_tags takes 20 at most."""
+def limit_tags(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(C.limit_tags(F.split("text", " ")), "|").alias("tags"))
 
 
@@ -374,22 +491,23 @@ def json_dig(spark, d):
 STOP = lexicon.stopwords()
 _LIST = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 _CANON_CASE = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.CANONICAL.items()) + " ELSE x END"
-TOKENS = rf"""toks AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '{lexicon.TOKEN}'), lambda x: regexp_replace(regexp_replace(x, '^[-_/]+|[-_/]+$', '', 'g'), '\.+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '{lexicon.NUMBER}')) AS a FROM documents),
+TOKENS = rf"""toks AS MATERIALIZED (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '{lexicon.TOKEN}'), lambda x: regexp_replace(regexp_replace(x, '^[-_/]+|[-_/]+$', '', 'g'), '\.+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '{lexicon.NUMBER}')) AS a FROM documents),
 folded AS (SELECT doc_id, flatten(list_transform(list_transform(a, lambda x: {_CANON_CASE}), lambda x: string_split(x, ' '))) AS tokens FROM toks),
-token_rows AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM folded)"""
+token_rows AS MATERIALIZED (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM folded)"""
 _DEPLURAL = (
     "CASE WHEN token LIKE '%ies' AND length(token) > 4 THEN substr(token, 1, length(token) - 3) || 'y' "
     "WHEN length(token) > 4 AND regexp_matches(token, '(sses|shes|ches|xes|zes)$') THEN substr(token, 1, length(token) - 2) "
     f"WHEN token LIKE '%s' AND length(token) > 3 AND NOT regexp_matches(token, '({'|'.join(lexicon.NO_PLURAL)})$') THEN substr(token, 1, length(token) - 1) END"
 )
-_IRREG = "CASE token " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.IRREGULAR.items()) + " END"
-LEMMAS = f"""vocab AS (SELECT token, count(*) AS n FROM token_rows GROUP BY token),
-b0 AS (SELECT token, CASE WHEN list_contains({_LIST(sorted(lexicon.DOMAIN_TERMS))}, token) THEN token ELSE {_IRREG} END AS fixed, coalesce({_DEPLURAL}, token) AS base FROM vocab),
-b1 AS (SELECT token, base, coalesce(fixed, CASE WHEN base <> token AND list_contains({_LIST(sorted(lexicon.DOMAIN_TERMS))}, base) THEN base END) AS fixed FROM b0),
+LEMMAS = f"""vocab AS MATERIALIZED (SELECT token, count(*) AS n FROM token_rows GROUP BY token),
+dom AS (SELECT unnest({_LIST(sorted(lexicon.DOMAIN_TERMS))}) AS token),
+irr AS (SELECT unnest({_LIST(lexicon.IRREGULAR)}) AS token, unnest({_LIST(lexicon.IRREGULAR.values())}) AS form),
+b0 AS (SELECT token, coalesce(dom.token, form) AS fixed, coalesce({_DEPLURAL.replace("token", "vocab.token")}, vocab.token) AS base FROM vocab LEFT JOIN dom USING (token) LEFT JOIN irr USING (token)),
+b1 AS MATERIALIZED (SELECT b0.token, base, coalesce(fixed, CASE WHEN base <> b0.token THEN dom.token END) AS fixed FROM b0 LEFT JOIN dom ON dom.token = base),
 st AS (SELECT token, s.o AS o, substr(base, 1, length(base) - s.n) AS stem FROM b1, (VALUES ('ing', 3, 0), ('ed', 2, 3)) AS s(x, n, o) WHERE fixed IS NULL AND suffix(base, s.x) AND length(base) - s.n >= 3),
 cand AS (SELECT token, o, stem AS c FROM st UNION ALL SELECT token, o + 1, stem || 'e' FROM st UNION ALL SELECT token, o + 2, substr(stem, 1, length(stem) - 1) FROM st WHERE right(stem, 1) = substr(stem, length(stem) - 1, 1)),
-verb AS (SELECT token, arg_min(c, o) AS verb FROM cand WHERE c IN (SELECT token FROM vocab) GROUP BY token),
-lem AS (SELECT b1.token, coalesce(fixed, verb, base) AS lemma FROM b1 LEFT JOIN verb USING (token))"""
+verb AS (SELECT cand.token, arg_min(c, o) AS verb FROM cand JOIN vocab ON vocab.token = c GROUP BY cand.token),
+lem AS MATERIALIZED (SELECT b1.token, coalesce(fixed, verb, base) AS lemma FROM b1 LEFT JOIN verb USING (token))"""
 _CONTENT = f"(list_contains({_LIST(sorted(lexicon.DOMAIN_TERMS))}, {{0}}) OR (NOT list_contains({_LIST(STOP)}, {{0}}) AND length({{0}}) >= 3))"
 PREPARED = f"""prepared AS (SELECT doc_id, pos, lemma AS token FROM token_rows JOIN lem USING (token) WHERE NOT list_contains({_LIST(STOP)}, token) AND {_CONTENT.format('lemma')}),
 lists AS (SELECT doc_id, list(token ORDER BY pos) AS t FROM prepared GROUP BY doc_id),
@@ -407,7 +525,10 @@ def prepared(spark, d) -> DataFrame:
 
 
 def terms_of(spark, d) -> DataFrame:
-    return text.ngrams(text.gathered(prepared(spark, d), "doc_id"), "doc_id")
+    """Terms of the documents' prepared tokens, which are written once, since they are used several times."""
+    found, path = text.gathered(prepared(spark, d), "doc_id"), _folder(spark, "tokens")
+    found.write.parquet(path)
+    return text.ngrams(spark.read.schema(found.schema).parquet(path), "doc_id")
 
 
 def _n_docs(spark, d) -> int:
@@ -459,8 +580,8 @@ def ngram_df(spark, d):
     return text.vocabulary_terms(text.term_statistics(terms_of(spark, d), "doc_id"), _n_docs(spark, d))
 
 
-def _tfidf(spark, d) -> tuple[DataFrame, DataFrame, int]:
-    terms, n = terms_of(spark, d), _n_docs(spark, d)
+def _tfidf(spark, d, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    terms, n = terms or terms_of(spark, d), _n_docs(spark, d)
     vocab = text.vocabulary_terms(text.term_statistics(terms, "doc_id"), n)
     return text.tfidf(terms, vocab, n, "doc_id"), vocab, n
 
@@ -487,10 +608,10 @@ _DOM = """dom AS (SELECT doc_id, max(CASE WHEN k = 1 THEN topic_id END) AS topic
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, topic_id) AS k FROM probs) GROUP BY doc_id)"""
 
 
-def _topic_weights(spark, d) -> DataFrame:
+def _topic_weights(spark, d, terms: DataFrame | None = None) -> DataFrame:
     from pyspark.sql import Window
 
-    terms = terms_of(spark, d)
+    terms = terms or terms_of(spark, d)
     vocab = text.vocabulary_terms(text.term_statistics(terms, "doc_id"), _n_docs(spark, d))
     src = documents(spark, d).selectExpr("doc_id", f"{_TOPIC} AS topic_id")
     counts = terms.join(F.broadcast(vocab.select("term")), "term").join(src, "doc_id").groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("c"))
@@ -507,8 +628,11 @@ def _assigned(spark, d) -> DataFrame:
     return topics.dominant(_probabilities(spark, d), "doc_id")
 
 
-def _keywords(spark, d) -> DataFrame:
-    return topics.top_terms(_topic_weights(spark, d))
+def _keywords(spark, d, terms: DataFrame | None = None) -> DataFrame:
+    """The topics' keywords: a few rows, written once."""
+    found, path = topics.top_terms(_topic_weights(spark, d, terms)), _folder(spark, "keywords")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 @query(f"{WEIGHTS} SELECT topic_id, term, weight, rank FROM kw")
@@ -585,7 +709,8 @@ pr AS (SELECT a.topic_id, a.term AS ta, b.term AS tb, dfs.df FROM kw a JOIN kw b
 co AS (SELECT pr.topic_id, ta, tb, count(*) AS co FROM pr JOIN held x ON x.term = ta JOIN held y ON y.term = tb AND y.doc_id = x.doc_id GROUP BY ALL)
 SELECT topic_id, round_even(avg(ln((coalesce(co, 0) + 1)::DOUBLE / df)), 6) AS coherence, count(*) AS n_pairs FROM pr LEFT JOIN co USING (topic_id, ta, tb) GROUP BY topic_id""")
 def umass_pairs(spark, d):
-    return topics.umass(_keywords(spark, d), terms_of(spark, d), "doc_id").withColumn("coherence", F.bround("coherence", 6))
+    terms = terms_of(spark, d)
+    return topics.umass(_keywords(spark, d, terms), terms, "doc_id").withColumn("coherence", F.bround("coherence", 6))
 
 
 @query(f"""{WEIGHTS}, nr AS (SELECT topic_id, sqrt(sum(weight * weight)) AS norm FROM tw GROUP BY topic_id)
@@ -608,8 +733,8 @@ def tag_cooccurrence(spark, d):
 # --- the model ------------------------------------------------------------------------------------------------------
 
 
-def _vectors(spark, d) -> tuple[DataFrame, list[str], int]:
-    weights, vocab, n = _tfidf(spark, d)
+def _vectors(spark, d, terms: DataFrame | None = None) -> tuple[DataFrame, list[str], int]:
+    weights, vocab, n = _tfidf(spark, d, terms)
     names = sorted(r.term for r in vocab.select("term").collect())  # at most the vocabulary's cap
     index = spark.createDataFrame(list(zip(names, range(len(names)))), "term string, idx int")
     return topics.doc_vectors(weights, index, "doc_id"), names, n
@@ -630,8 +755,26 @@ def lda_doc_topics(spark, d):
     return topics.dominant(found.unionByName(topics.uniform(documents(spark, d), vectors, len(lam), "doc_id")), "doc_id")
 
 
+@query(f"""WITH {TOKENS}, {LEMMAS}, {PREPARED}, n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+SELECT CAST(8 AS BIGINT) AS n_topics, (SELECT count(*) FROM vt) AS n_terms, 8 * (SELECT count(*) FROM vt) AS n_weights, 1.0::DOUBLE AS least_weight_sum, 1.0::DOUBLE AS most_weight_sum, n AS n_documents, 8 * n AS n_probabilities, 1.0::DOUBLE AS least_probability_sum, 1.0::DOUBLE AS most_probability_sum,
+  8 * (n - (SELECT count(DISTINCT doc_id) FROM grams JOIN vt USING (term))) AS n_uniform FROM n""")
+def lda_invariants(spark, d):
+    """What holds for any fitted model: distributions over all terms, and over all topics for each document, equal ones where it has no known term."""
+    vectors, names, _ = _vectors(spark, d)
+    lam = topics.fit_lda(vectors.cache(), 8, len(names))
+    weights = topics.topic_weights(spark, lam, names)
+    sums = weights.groupBy("topic_id").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    model = sums.agg(F.count(F.lit(1)).alias("n_topics"), F.max("n").alias("n_terms"), F.sum("n").alias("n_weights"), F.round(F.min("total"), 6).alias("least_weight_sum"), F.round(F.max("total"), 6).alias("most_weight_sum"))
+    bare = topics.uniform(documents(spark, d), vectors, len(lam), "doc_id")
+    found = topics.infer_lda(vectors, lam, "doc_id").withColumn("bare", F.lit(0)).unionByName(bare.withColumn("bare", F.lit(1)))
+    of = found.groupBy("doc_id").agg(F.sum("prob").alias("total"), F.count(F.lit(1)).alias("n"), F.sum("bare").alias("bare"))
+    told = of.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_probabilities"), F.round(F.min("total"), 6).alias("least_probability_sum"), F.round(F.max("total"), 6).alias("most_probability_sum"), F.sum("bare").alias("n_uniform"))
+    return model.crossJoin(F.broadcast(told))  # one row each
+
+
 @query()
 def select_n_topics(spark, d):
-    vectors, names, n = _vectors(spark, d)
-    scores, _ = topics.select_topics(vectors.cache(), terms_of(spark, d), names, list(range(8, 23, 2)), "doc_id", n)
+    terms = terms_of(spark, d)
+    vectors, names, n = _vectors(spark, d, terms)
+    scores, _ = topics.select_topics(vectors.cache(), terms, names, list(range(8, 23, 2)), "doc_id", n)
     return spark.createDataFrame([(s["n_topics"], s["coherence_umass"], s["perplexity"]) for s in scores], "n_topics int, coherence_umass double, perplexity double")

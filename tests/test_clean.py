@@ -123,10 +123,10 @@ def test_dedupe_ci_takes_whole_texts(spark, tmp_path):
 
     texts = [(1, " ".join(f"{'W' if i % 3 else 'w'}{i * 7919 % 6007}" for i in range(20000))), (2, "a A  b " * 30 + "late Late"), (3, ""), (4, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.words for r in queries.QUERIES["dedupe_ci_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.words for r in queries.QUERIES["dedupe_ci"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else brute(t) for i, t in texts}
     assert got[2] == "a b late" and len(got[1].split(" ")) == 6007
-    tags = {r.doc_id: r.tags for r in queries.QUERIES["limit_tags_whole"](spark, str(tmp_path)).collect()}
+    tags = {r.doc_id: r.tags for r in queries.QUERIES["limit_tags"](spark, str(tmp_path)).collect()}
     assert tags == {1: "", 2: "a|b|late", 3: "", 4: ""}
     some = spark.createDataFrame([(["b", None, "B", "", None, "a"],), ([],)], "a array<string>").select(C.dedupe_ci(F.col("a"))).collect()
     assert [r[0] for r in some] == [["b", "a"], []]
@@ -156,7 +156,7 @@ def test_upsert_of_all_rows(spark):
 
     d = "/root/testdata/sf0.001"
     urls = {r.url for r in queries.raw(spark, d).collect()}
-    got = {r.url: r for r in queries.QUERIES["upsert_merge_whole"](spark, d).collect()}
+    got = {r.url: r for r in queries.QUERIES["upsert_merge"](spark, d).collect()}
     assert urls <= set(got) and any(r.row_ord % 2 for r in got.values())
     only = {u for u in got if u.endswith("-new")}
     assert only and {u.removesuffix("-new") for u in only} <= urls and set(got) == urls | only

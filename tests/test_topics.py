@@ -162,11 +162,11 @@ def test_registered_models_run_the_whole_fit(spark, tmp_path, monkeypatch):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     fits = []
 
-    def fit(vectors, k, n_terms, rounds=25, seed=42):
-        fits.append((k, rounds))
-        return np.random.default_rng(seed).gamma(100.0, 0.01, (k, n_terms))
+    def fit(vectors, ks, n_terms, rounds=25, seed=42):
+        fits.extend((k, rounds) for k in ks)
+        return {k: np.random.default_rng(seed).gamma(100.0, 0.01, (k, n_terms)) for k in ks}
 
-    monkeypatch.setattr(topics, "fit_lda", fit)
+    monkeypatch.setattr(topics, "fit_ldas", fit)
     assert queries.QUERIES["lda_topics"](spark, str(tmp_path)).count() > 0
     got = {r.doc_id: r for r in queries.QUERIES["lda_doc_topics"](spark, str(tmp_path)).collect()}
     assert fits == [(8, 25), (8, 25)] and set(got) == {i for i, _ in texts}
@@ -174,3 +174,34 @@ def test_registered_models_run_the_whole_fit(spark, tmp_path, monkeypatch):
     fits.clear()
     scores = queries.QUERIES["select_n_topics"](spark, str(tmp_path)).collect()
     assert fits == [(k, 25) for k in range(8, 23, 2)] and [r.n_topics for r in scores] == [k for k, _ in fits]
+
+
+@pytest.mark.parametrize("frequent", [10_000, 2])
+def test_lemmas_of_documents_however_joined(spark, monkeypatch, frequent):
+    monkeypatch.setattr(text, "FREQUENT", frequent)
+    docs = spark.createDataFrame([(1, "Models, models and the data-science of models"), (2, "2024 --- the"), (3, None), (4, "trained to train; a/b LLMs")], "id long, text string")
+    rows = text.content_lemmas(text.token_rows(docs, "id", "text"), lexicon.stopwords(), "id")
+    got = {r.id: r.tokens for r in text.gathered(rows, "id").collect()}
+    assert got == {1: ["model", "model", "data", "science", "model"], 4: ["train", "train", "a/b", "llm"]}
+
+
+def test_models_fitted_side_by_side(spark):
+    rows = [(i, [i % 3, 3 + i % 4], [1.0, 0.5 + i % 2]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, ids array<long>, weights array<double>")
+    both = topics.fit_ldas(vectors, [2, 3], 7, rounds=3)
+    assert np.array_equal(both[2], topics.fit_lda(vectors.repartition(5), 2, 7, rounds=3)) and both[3].shape == (3, 7)
+    # one pass by hand
+    lam = np.random.default_rng(42).gamma(100.0, 0.01, (2, 7))
+    beta, want = topics._expectation(lam), np.full((2, 7), 0.5)
+    for _, ids, weights in rows:
+        gamma = np.ones(2)
+        for _ in range(100):
+            theta = topics._expectation(gamma)
+            phi = theta[:, None] * beta[:, ids]
+            new = 0.5 + (phi / phi.sum(0) * weights).sum(1)
+            done, gamma = np.abs(new - gamma).mean() < 1e-3, new
+            if done:
+                break
+        phi = topics._expectation(gamma)[:, None] * beta[:, ids]
+        want[:, ids] += phi / phi.sum(0) * weights
+    assert topics.fit_lda(vectors, 2, 7, rounds=1) == pytest.approx(want, abs=1e-5)
