@@ -7,8 +7,9 @@ conversations leaves the maximal ones, and only those are rendered.
 
 Defined cases: turns are ordered by turn, then role, then text, nulls first, and repeated rows count as turns; a
 null role is written as "unknown" and a null text as the empty string, which differs from a null only in the log;
-rows without conversation id belong to none and are left out; an empty table gives an empty result; other columns
-are ignored.
+rows without conversation id belong to none and are left out; very long texts are hashed and rendered whole, and turns
+that tie in place, role and text are equal, so that their order makes no difference; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

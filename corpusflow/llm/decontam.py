@@ -72,7 +72,10 @@ def build(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Index:
     n_terms = vocabulary.count()
     known = vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).cast("long").alias("term")))
 
-    tokens = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
+    # the key is made before the explosion, so that no token carries its text along; _outer, since Spark would else filter by
+    # the size of the list (it always has an end), and find the words twice
+    keyed = docs.select("doc_id", row_key().alias("row"), F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"))
+    tokens = keyed.select("doc_id", "row", F.posexplode_outer("words").alias("pos", "word"))
     tokens = tokens.select("doc_id", "row", "pos", lowered(F.col("word")).alias("word"))
     postings = scratch.table(tokens.join(bounded(known, n_terms, 64), "word").select("term", "row", "pos", F.when(F.col("term") == 0, F.col("doc_id")).alias("doc_id")), "postings")
 

@@ -775,3 +775,52 @@ def test_pipeline_drops_near_duplicates_from_four_fifths_on(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
     # op3 keeps its own threshold
     assert sorted(x.doc_id for x in minhash.keep_first(docs).collect()) == [1, 2, 3]
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """A folder with labels and a benchmark, and documents with odd rows and columns that the operators name things by."""
+    d = str(tmp_path_factory.mktemp("small"))
+    vocabulary = words(400, 91, 5000)
+    r = random.Random(9)
+    body = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    item = " ".join(words(14, 92, 5000))
+    rows = [(i, body(80) + (" idiot moron scum" if i % 4 == 0 else "")) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "mail a.b@example.org now " + body(30)), (104, body(40) + " " + item + " " + body(20)), (105, body(12000))]
+    rows += [(106, rows[1][1]), (107, rows[1][1] + " more"), (1, rows[1][1]), (103, rows[-3][1]), (None, body(30))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, n_pii int, row string, removed int, score double, __x int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "r", 1, 0.5, 3) for i, t in rows], columns).repartition(3)
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return docs.cache(), rows, d
+
+
+def test_pipeline_stages_on_odd_rows(spark, small_tables):
+    import corpus_pipeline as P
+
+    docs, rows, d = small_tables
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda x: (x is None, x))
+    every = sorted((i for i, _ in rows), key=lambda x: (x is None, x))
+    clean = P.drop_toxic(spark, docs, d)
+    assert ids(clean) == [i for i in every if i is None or i >= 80 or i % 4] and clean.columns == docs.columns
+    one = P.drop_near_duplicates(spark, docs, d)
+    assert ids(one) == [i for i in every if i not in (106, 107)] and one.columns == docs.columns
+    apart = P.drop_contaminated(spark, docs, d)
+    assert ids(apart) == [i for i in every if i != 104] and apart.columns == docs.columns
+    hidden = P.pseudonymize(spark, docs, d)
+    assert ids(hidden) == every and hidden.columns == docs.columns
+    changed = {(r.doc_id, r.text): r for r in hidden.collect()}
+    same = {(i, t) for i, t in rows if i != 103}
+    assert same <= set(changed) and all(r.n_pii == 7 and r.n_chars == len(r.text or "") or r.text is None for r in changed.values())
+    assert len({t for i, t in changed if i == 103}) == 1 and "a.b@example.org" not in str([t for i, t in changed if i == 103])
+    coded = P.encode(spark, docs, d)
+    assert ids(coded) == every and {r.n_tokens for r in coded.collect() if r.doc_id in (100, 101, 102)} == {0}
+
+
+def test_pipeline_stages_on_an_empty_table(spark, small_tables):
+    import corpus_pipeline as P
+
+    docs, _, d = small_tables
+    for name, stage in P.STAGES:
+        done = stage(spark, docs.limit(0), d)
+        assert done.collect() == [] and (name == "bpe" or done.columns == docs.columns)
