@@ -182,7 +182,8 @@ def components(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = P
     links = parts.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
     edges = parts.select(F.col("id").alias("a"), F.col("root").alias("b"))
     # an id with several vectors is one node
-    several = valid.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("x"), F.max("vector").alias("y")).where("x <> y").select("vec_id")
+    named = valid.where("vec_id IS NOT NULL").select("vec_id", F.xxhash64("vector").alias("h"))
+    several = named.groupBy("vec_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("vec_id")
     of = valid.join(several, "vec_id", "left_semi").distinct().join(classes.select("vector", "class"), "vector").select("vec_id", "class")
     same = of.join(of.groupBy("vec_id").agg(F.min("class").alias("b")), "vec_id").select(F.col("class").alias("a"), "b")
     labels = connected(edges.unionByName(same), scratch).withColumnRenamed("id", "class")
@@ -190,7 +191,7 @@ def components(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = P
     told = scratch.table(told.select("vector", "least", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "told")
     least = told.groupBy("component").agg(F.min("least").alias("component_id"))
     known = split_join(told, least, ["component"], hot_keys(told, ["component"])).select("vector", "n_links", "component_id")
-    out = split_join(valid, known, ["vector"], hot_keys(valid, ["vector"])).select("vec_id", "n_links", "component_id")
+    out = scratch.table(split_join(valid, known, ["vector"], hot_keys(valid, ["vector"])).select("vec_id", "n_links", "component_id"), "out")
     joined = bare.join(out.join(bare.distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("component_id")), "vec_id", "left")
     return out.unionByName(joined.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
 
