@@ -32,16 +32,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/corpusflow/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
         """For a table that nothing reads any more."""
+        self.names.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all other tables, once what follows reads these alone."""
+        for name in sorted(self.names - set(names)):
+            self.drop(name)
+
 
 def row_key() -> Column:
     """96 bits that stand for a row's doc_id and text, for tables in which ids repeat; never null."""

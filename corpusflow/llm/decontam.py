@@ -142,6 +142,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame
     sizes = index.postings.where("term = 0").select("doc_id", "row", F.col("pos").cast("long").alias("n_words"))
     # rows that repeat an id with their text have one key
     out = split_join(sizes, hit.join(items, "row", "left"), ["row"], hot_keys(sizes, ["row"]), "left")
+    out = index.scratch.table(out, "report")
+    index.scratch.keep("report")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -151,7 +153,9 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
-    found = matches(build(docs, benchmark, size)).select(F.col("row").alias("__row")).distinct()
+    index = build(docs, benchmark, size)
+    found = matches(index).select(F.col("row").alias("__row")).distinct()
+    index.scratch.keep("matches")
     return docs.withColumn("__row", row_key()).join(bounded(found, found.count(), 24), "__row", "left_anti").select(*docs.columns)
 
 

@@ -192,6 +192,7 @@ def components(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = P
     least = told.groupBy("component").agg(F.min("least").alias("component_id"))
     known = split_join(told, least, ["component"], hot_keys(told, ["component"])).select("vector", "n_links", "component_id")
     out = scratch.table(split_join(valid, known, ["vector"], hot_keys(valid, ["vector"])).select("vec_id", "n_links", "component_id"), "out")
+    scratch.keep("out")
     joined = bare.join(out.join(bare.distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("component_id")), "vec_id", "left")
     return out.unionByName(joined.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
 

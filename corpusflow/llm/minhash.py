@@ -229,6 +229,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     by_class = split_join(told, least, ["component"], hot_keys(told, ["component"])).select("d1", "d2", "component_id")
     rows = full.select("doc_id", "row", "n_shingles", "d1", "d2")
     out = scratch.table(split_join(rows, by_class, ["d1", "d2"], hot_keys(rows, ["d1", "d2"])).drop("d1", "d2"), "out")
+    scratch.keep("sketches", "out")
     # an empty set links with nothing, but its id may have other rows
     bare = every.where("d1 IS NULL").select("doc_id", "row", "n_shingles")
     known = _also_bare(full, bare, out)

@@ -288,6 +288,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.drop("removed", "kept")
     scratch = Scratch(docs.sparkSession, "substrings")
     found = scratch.table(spans(docs, length, scratch), "spans")
+    scratch.keep("spans")
     # a document's stretches are fewer than its bytes
     listed = found.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     with_, without = _narrowed(_key(docs), found.select("__key").distinct())
