@@ -66,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), str(i))
+        scratch.keep(str(i))
     return docs
