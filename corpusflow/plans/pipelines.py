@@ -56,22 +56,23 @@ def model_topics(articles: DataFrame, candidates: list[int], stopwords: list[str
     docs = text.corpus(articles)
     n = docs.count()
     rows = text.content_lemmas(text.token_rows(docs, "url", "document"), stop, "url")
-    terms = text.ngrams(text.gathered(rows, "url"), "url").persist()
-    vocab = text.vocabulary_terms(text.term_statistics(terms, "url"), n, min_df, max_df, max_features).persist()
+    # written, so that the plans of all that follows stay small
+    terms = text.ngrams(files.written(text.gathered(rows, "url"), "tokens"), "url")
+    vocab = files.written(text.vocabulary_terms(text.term_statistics(terms, "url"), n, min_df, max_df, max_features), "vocabulary")
     names = sorted(r.term for r in vocab.select("term").collect())
     if not names:
         raise ValueError("the vocabulary is empty")
     counts = terms.join(F.broadcast(vocab.select("term")), "term").groupBy("url", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     weights = text.tfidf(terms, vocab, n, "url") if kind == "tfidf" else counts
     index = spark.createDataFrame(list(zip(names, range(len(names)))), "term string, idx int")
-    vectors = topics.doc_vectors(weights, index, "url").persist()
+    vectors = files.written(topics.doc_vectors(weights, index, "url"), "vectors")
     scores, models = topics.select_topics(vectors, terms, names, candidates, "url", n, rounds, seed)
     best = topics.best_score(scores)
     lam = models[best["n_topics"]]
     tw = topics.topic_weights(spark, lam, names).persist()
     keywords = topics.top_terms(tw).persist()
     found = topics.infer_lda(vectors, lam, "url")
-    assigned = topics.dominant(found.unionByName(topics.uniform(docs, vectors, len(lam), "url")), "url").persist()
+    assigned = files.written(topics.dominant(found.unionByName(topics.uniform(docs, vectors, len(lam), "url")), "url"), "assigned")
     labels = topics.assign_labels(keywords, topics.rule_rows(spark, rules)).persist()
     enriched = topics.articles_with_topics(articles, assigned, labels, keywords, "url").persist()
     settings = {"input": source, "library": "corpusflow", "algorithm": "lda", "vectorizer": kind, "ngram_range": [1, 2], "min_df": text.least_df(n, min_df), "max_df": max_df, "max_features": max_features, "n_features": len(names), "random_state": seed, "max_iter": rounds, "candidates": candidates}

@@ -6,7 +6,6 @@ documents' sources, so that what follows from assignments can be checked without
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,14 +66,6 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.with_derived(marked(spark, sf_dir).where("drop_reason IS NULL").drop("drop_reason"))
 
 
-def _folder(spark, name: str) -> str:
-    """A folder for a query's files, in the one that the session shares; a local one where Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or '/tmp/checkpoints').rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}"
-
-
 def query(sql: str | None = None):
     """Registers a function under its name, with the same in SQL."""
 
@@ -368,7 +359,7 @@ _QUOTED = "concat('say \"', title, '\", so', chr(10), author, ', \"\"')"
 @query(f"{WITH_RAW} SELECT {_QUOTED} AS title, url, published_date, CAST(row_ord AS VARCHAR) AS author, tags, excerpt, scraped_at FROM art")
 def csv_round_trip(spark, d):
     """Raw rows written as CSV and scanned again."""
-    path = _folder(spark, "csv")
+    path = files.folder(spark, "csv")
     rows = raw(spark, d).withColumn("title", F.expr(_QUOTED)).withColumn("author", F.col("row_ord").cast("string"))
     files.write_csv(rows.drop("row_ord"), path)
     return files.load_raw(spark, path).drop("row_ord")
@@ -377,7 +368,7 @@ def csv_round_trip(spark, d):
 @query(f"{WITH_CLEAN} SELECT url, tags, CAST(published_at AS VARCHAR) AS published_at, published_year, tag_count, array_to_string({_TAGS}, ',') AS tags_list FROM cleaned")
 def clean_csv_round_trip(spark, d):
     """Clean rows written as CSV and scanned again, with their types."""
-    path = _folder(spark, "clean-csv")
+    path = files.folder(spark, "clean-csv")
     files.write_csv(clean.clean(raw(spark, d)).drop("row_ord"), path)
     return files.load_clean(spark, path).select("url", "tags", F.col("published_at").cast("string").alias("published_at"), "published_year", "tag_count", F.array_join("tags_list", ",").alias("tags_list"))
 
@@ -393,7 +384,7 @@ l AS (SELECT 1 AS o, 'rows in : ' || total AS line FROM n UNION ALL SELECT 2, 'r
 SELECT row_number() OVER (ORDER BY o) AS number, line FROM l""")
 def cleaning_report(spark, d):
     """The report of a cleaning as JSON, read again and told line by line."""
-    path = _folder(spark, "report.json")
+    path = files.folder(spark, "report.json")
     files.write_json(spark, clean.report(marked(spark, d)), path)
     lines = clean.report_text(files.read_json(spark, path)).split("\n")
     return spark.createDataFrame(list(enumerate(lines, 1)), "number long, line string")
@@ -421,7 +412,7 @@ def upsert_stream(spark, d):
     """The table that a stream of all rows leaves."""
     from .streaming import upserts
 
-    path, source = _folder(spark, "stream"), documents(spark, d)
+    path, source = files.folder(spark, "stream"), documents(spark, d)
     rows = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parque[t]")  # as a pattern, it may be one file
     own = clean.required(rows.selectExpr(*(f"{sql} AS {name}" for name, sql in ARTICLES.items())), ("row_ord",))
     upserts.upsert_stream(own, f"{path}/table", f"{path}/checkpoint").awaitTermination()
@@ -526,9 +517,7 @@ def prepared(spark, d) -> DataFrame:
 
 def terms_of(spark, d) -> DataFrame:
     """Terms of the documents' prepared tokens, which are written once, since they are used several times."""
-    found, path = text.gathered(prepared(spark, d), "doc_id"), _folder(spark, "tokens")
-    found.write.parquet(path)
-    return text.ngrams(spark.read.schema(found.schema).parquet(path), "doc_id")
+    return text.ngrams(files.written(text.gathered(prepared(spark, d), "doc_id"), "tokens"), "doc_id")
 
 
 def _n_docs(spark, d) -> int:
@@ -630,9 +619,7 @@ def _assigned(spark, d) -> DataFrame:
 
 def _keywords(spark, d, terms: DataFrame | None = None) -> DataFrame:
     """The topics' keywords: a few rows, written once."""
-    found, path = topics.top_terms(_topic_weights(spark, d, terms)), _folder(spark, "keywords")
-    found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+    return files.written(topics.top_terms(_topic_weights(spark, d, terms)), "keywords")
 
 
 @query(f"{WEIGHTS} SELECT topic_id, term, weight, rank FROM kw")

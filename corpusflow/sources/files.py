@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(own)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the session shares (spark.checkpoint.dir); a local one only where Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own, which cuts what led to them."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings by the header's names, null as empty."""
     rows = spark.read.options(**CSV, inferSchema=False, enforceSchema=False).csv(path)
