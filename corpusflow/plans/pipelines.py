@@ -55,18 +55,15 @@ def model_topics(articles: DataFrame, candidates: list[int], stopwords: list[str
     spark, stop = articles.sparkSession, stopwords or lexicon.stopwords()
     docs = text.corpus(articles)
     n = docs.count()
-    rows = text.content_lemmas(text.token_rows(docs, "url", "document"), stop, "url")
     # written, so that the plans of all that follows stay small
-    terms = text.ngrams(files.written(text.gathered(rows, "url"), "tokens"), "url")
-    vocab = files.written(text.vocabulary_terms(text.term_statistics(terms, "url"), n, min_df, max_df, max_features), "vocabulary")
-    names = sorted(r.term for r in vocab.select("term").collect())
+    tokens = files.written(text.prepared_docs(docs, "url", "document", stop), "tokens")
+    vocab = text.vocabulary_list(tokens, "url", n, min_df, max_df, max_features)
+    names = sorted(term for term, _, _ in vocab)
     if not names:
         raise ValueError("the vocabulary is empty")
-    counts = terms.join(F.broadcast(vocab.select("term")), "term").groupBy("url", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    weights = text.tfidf(terms, vocab, n, "url") if kind == "tfidf" else counts
-    index = spark.createDataFrame(list(zip(names, range(len(names)))), "term string, idx int")
-    vectors = files.written(topics.doc_vectors(weights, index, "url"), "vectors")
-    scores, models = topics.select_topics(vectors, terms, names, candidates, "url", n, rounds, seed)
+    weights = "weights" if kind == "tfidf" else F.col("counts").cast("array<double>").alias("weights")
+    vectors = files.written(text.term_vectors(tokens, "url", vocab, n).select("url", "ids", weights), "vectors")
+    scores, models = topics.select_topics(vectors, names, candidates, n, rounds, seed)
     best = topics.best_score(scores)
     lam = models[best["n_topics"]]
     tw = topics.topic_weights(spark, lam, names).persist()

@@ -205,3 +205,41 @@ def test_models_fitted_side_by_side(spark):
         phi = topics._expectation(gamma)[:, None] * beta[:, ids]
         want[:, ids] += phi / phi.sum(0) * weights
     assert topics.fit_lda(vectors, 2, 7, rounds=1) == pytest.approx(want, abs=1e-5)
+
+
+def test_prepared_docs_follow_the_rules_of_lemmas(spark):
+    """Matches are lemmatized in Python as in column expressions; documents are arrays, rows of one key one document."""
+    odd = "Classes queries series boxes ies a-b data-science analyses .NET c++ 1.2.3 _x_ -/- running ran run coding code tied tie stopped stop llms bias's Ünïted needed need models the being"
+    docs = spark.createDataFrame([(1, odd), (2, "2024 --- the"), (3, None), (4, odd * 2), (None, "model models")], "id long, text string")
+    stop = lexicon.stopwords()
+    want = {r.id: r.tokens for r in text.gathered(text.content_lemmas(text.token_rows(docs, "id", "text"), stop, "id"), "id").collect()}
+    assert {r.id: r.tokens for r in text.prepared_docs(docs, "id", "text", stop).collect()} == want and set(want) == {1, 4, None}
+    twice = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (2, "delta")], "id long, text string")
+    assert {r.id: sorted(r.tokens) for r in text.prepared_docs(twice, "id", "text", stop).collect()} == {1: ["alpha", "beta", "gamma"], 2: ["delta"]}
+
+
+@pytest.mark.parametrize(("most", "numbered"), [(5000, 1 << 18), (7, 1 << 18), (7, 3)])
+def test_vocabulary_and_vectors_as_by_rows_of_terms(spark, monkeypatch, most, numbered):
+    monkeypatch.setattr(text, "NUMBERED", numbered)
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, [f"w{x}" for x in rng.zipf(1.6, 30) if x < 40]) for i in range(60)] + [(60, [])], "id long, tokens array<string>")
+    terms = text.ngrams(docs, "id")
+    want = text.vocabulary_terms(text.term_statistics(terms, "id"), 61, most=most)
+    got = text.vocabulary_list(docs, "id", 61, most=most)
+    assert got == [(r.term, r.df, r.cf) for r in want.collect()] and any(" " in t for t, _, _ in got)
+    names = [r.term for r in text.named_terms(spark, got).orderBy("idx").collect()]
+    vectors = {r.id: dict(zip((names[i] for i in r.ids), r.weights)) for r in text.term_vectors(docs, "id", got, 61).collect()}
+    rows = {}
+    for r in text.tfidf(terms, want, 61, "id").collect():
+        rows.setdefault(r.id, {})[r.term] = r.weight
+    assert set(vectors) == set(rows) and all(vectors[i] == pytest.approx(rows[i]) for i in rows)
+
+
+def test_umass_of_vectors_is_umass(spark):
+    docs = [(0, ["a", "b", "c"]), (1, ["a", "c"]), (2, ["b"]), (3, ["c", "d"]), (4, ["a", "d"])]
+    names = spark.createDataFrame([(i, t) for i, t in enumerate("abcde")], "idx int, term string")
+    vectors = spark.createDataFrame([(i, ["abcde".index(t) for t in ts]) for i, ts in docs], "id long, ids array<int>")
+    kw = keywords(spark, [("a", 0.5), ("b", 0.4), ("c", 0.3)], [("d", 0.5), ("a", 0.4)])
+    terms = spark.createDataFrame([(i, t) for i, ts in docs for t in ts], "id long, term string")
+    told = lambda rows: {r.topic_id: (round(r.coherence, 9), r.n_pairs) for r in rows.collect()}
+    assert told(topics.umass_of_vectors(kw, vectors, names)) == told(topics.umass(kw, terms, "id"))
