@@ -243,3 +243,29 @@ def test_umass_of_vectors_is_umass(spark):
     terms = spark.createDataFrame([(i, t) for i, ts in docs for t in ts], "id long, term string")
     told = lambda rows: {r.topic_id: (round(r.coherence, 9), r.n_pairs) for r in rows.collect()}
     assert told(topics.umass_of_vectors(kw, vectors, names)) == told(topics.umass(kw, terms, "id"))
+
+
+def test_inference_side_by_side():
+    """Documents of any size, empty ones too, side by side: as one by one, and as the plain rounds say."""
+    rng = np.random.default_rng(3)
+    beta = topics._expectation(rng.gamma(100.0, 0.01, (4, 50)))
+    docs = [np.sort(rng.choice(50, n, replace=False)) for n in (0, 1, 7, 8, 9, 30, 50, 3, 1)]
+    weights = [rng.random(len(d)) + 0.1 for d in docs]
+    ends = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    ids, all_weights = np.concatenate(docs), np.concatenate(weights)
+    found, parts = np.zeros((len(docs), 4)), np.zeros((len(ids), 4))
+    for own, gamma, at, stats in topics._infer(ends, ids, all_weights, beta, 0.25, parts=True, limit=20):
+        found[own], parts[at] = gamma, stats
+    for i, (d, w) in enumerate(zip(docs, weights)):
+        (_, alone, _, _), = topics._infer(np.array([0, len(d)]), d, w, beta, 0.25)
+        assert np.array_equal(alone[0], found[i])
+        gamma = np.ones(4)
+        for _ in range(100):
+            theta = topics._expectation(gamma)
+            phi = theta[:, None] * beta[:, d]
+            new = 0.25 + (phi / phi.sum(0) * w).sum(1)
+            done, gamma = np.abs(new - gamma).mean() < 1e-3, new
+            if done:
+                break
+        phi = topics._expectation(gamma)[:, None] * beta[:, d]
+        assert found[i] == pytest.approx(gamma, abs=1e-9) and parts[ends[i] : ends[i + 1]] == pytest.approx((phi / phi.sum(0) * w).T, abs=1e-9)
