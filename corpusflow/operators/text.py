@@ -12,7 +12,10 @@ as can still reach the vocabulary, by numbers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -121,18 +124,105 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def prepared_docs(docs: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
-    """key and its content lemmas in order (``tokens``), of documents that have any; rows of one key are one document, merged by place.
+#: lexicon.TOKEN for texts in lower case, without the steps back that could find nothing.
+MATCHES = r"[a-z][a-z0-9]*+(?:\+\+|#)|\.?[a-z0-9]++(?:[-._/][a-z0-9]++)*+"
 
-    The verbs sent to all tasks are the attested ones in -ing and -ed, which are few beside the vocabulary. What follows keeps
-    the partitions of ``docs``, so documents in fewer than there are cores are dealt over these first.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        docs = docs.select(key, text).repartition(cores)
-    rows = token_rows(docs, key, text)
-    tokens = rows.select("raw").groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select(F.explode(C.token_parts(F.col("raw"))).alias("token")).distinct()
-    verbs = dict(map(tuple, attested_verbs(tokens).collect()))
+#: Bytes of text in a block, and rows of words or pairs that are dealt to one partition, about.
+BLOCK, DEALT = 8 << 20, 1 << 19
+
+
+class Block(NamedTuple):
+    """Documents (``keys``) whose tokens are ``words[codes[ends[i]:ends[i + 1]]]``; ``groups`` has a list for each, or is None."""
+
+    keys: pa.Array
+    groups: pa.Array | None
+    ends: np.ndarray
+    codes: np.ndarray
+    words: pa.Array
+
+    def row(self, keys: pa.DataType) -> pa.RecordBatch:
+        lists = pa.list_(pa.list_(pa.int64()))
+        groups = pa.nulls(1, lists) if self.groups is None else pa.ListArray.from_arrays(pa.array([0, len(self.groups)], pa.int32()), self.groups.cast(lists.value_type))
+        codes = self.codes.astype(np.uint16 if len(self.words) <= 1 << 16 else np.int32).tobytes()
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+        counts = [pa.array([n], pa.int64()) for n in (len(self.words), len(self.codes))]
+        return pa.RecordBatch.from_arrays([one(self.keys, keys), groups, one(pa.array(self.ends), pa.int32()), pa.array([codes], pa.binary()), one(self.words, pa.string()), *counts], BLOCK_COLUMNS)
+
+
+BLOCK_COLUMNS = ["keys", "groups", "ends", "codes", "words", "n_words", "n_tokens"]
+
+
+def _block_schema(kind: str) -> str:
+    return f"keys array<{kind}>, groups array<array<bigint>>, ends array<int>, codes binary, words array<string>, n_words bigint, n_tokens bigint"
+
+
+def _key_kind(blocks: DataFrame) -> str:
+    return blocks.schema["keys"].dataType.elementType.simpleString()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks of batches with the first five of BLOCK_COLUMNS."""
+    for batch in batches:
+        for keys, groups, ends, codes, words in zip(*(batch.column(i) for i in range(5))):
+            ends, codes = ends.values.to_numpy(zero_copy_only=False).astype(np.int64), codes.as_buffer()
+            numbers = np.frombuffer(codes, np.uint16 if len(words.values) <= 1 << 16 else np.int32).astype(np.int64)
+            yield Block(keys.values, groups.values, ends, numbers, words.values)
+
+
+def _map_blocks(blocks: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` makes batches of an iterator of blocks."""
+    return blocks.select(BLOCK_COLUMNS[:5]).mapInArrow(lambda batches: run(_read(batches)), schema)
+
+
+def _dealt(blocks: DataFrame, column: str) -> int:
+    """Partitions for what blocks have of ``column``."""
+    return max(blocks.sparkSession.sparkContext.defaultParallelism, (blocks.agg(F.sum(column)).first()[0] or 0) // DEALT + 1)
+
+
+def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = None) -> DataFrame:
+    """Blocks of all documents with the matches of the token pattern. ``groups``: an array of numbers for each document."""
+    lists, grouped = F.lit(None).cast("array<bigint>") if groups is None else groups, groups is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(MATCHES).findall
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(a, b - a)
+                found = [find(x) if x else [] for x in part.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+                coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+                yield Block(part.column(0), part.column(2) if grouped else None, ends, coded.indices.to_numpy(), coded.dictionary).row(part.column(0).type)
+
+    rows = docs.select(F.col(key), F.lower(F.col(text)).alias("text"), lists.alias("groups"))
+    return rows.mapInArrow(run, _block_schema(docs.schema[key].dataType.simpleString()))
+
+
+def array_blocks(docs: DataFrame, key: str, groups: str | None = None) -> DataFrame:
+    """Blocks of documents that have their words as the array ``tokens``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                coded = batch.column(1).flatten().dictionary_encode()
+                yield Block(batch.column(0), batch.column(2) if groups else None, offsets(batch.column(1)), coded.indices.to_numpy(), coded.dictionary).row(batch.column(0).type)
+
+    return docs.select(key, "tokens", *([groups] if groups else [])).mapInArrow(run, _block_schema(docs.schema[key].dataType.simpleString()))
+
+
+def block_docs(blocks: DataFrame, key: str) -> DataFrame:
+    """key and ``tokens``: the documents of blocks, one row each."""
+
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            yield pa.RecordBatch.from_arrays([x.keys, pa.ListArray.from_arrays(pa.array(x.ends, pa.int32()), x.words.take(pa.array(x.codes)))], [key, "tokens"])
+
+    return _map_blocks(blocks, run, f"`{key}` {_key_kind(blocks)}, tokens array<string>")
+
+
+def _places(docs: DataFrame, key: str, text: str, verbs: dict[str, str], stopwords: list[str]) -> DataFrame:
+    """key, the content lemmas of each row (``tokens``) and their places, of rows that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lemmatize = Lemmatizer(verbs, stopwords)
@@ -151,16 +241,57 @@ def prepared_docs(docs: DataFrame, key: str, text: str, stopwords: list[str]) ->
             yield out.filter(pa.array(np.diff(ends) > 0))
 
     kind = docs.schema[key].dataType.simpleString()
-    listed = docs.select(key, C.raw_tokens(F.col(text)).alias("raw")).mapInArrow(run, f"`{key}` {kind}, tokens array<string>, places array<bigint>")
+    return docs.select(key, C.raw_tokens(F.col(text)).alias("raw")).mapInArrow(run, f"`{key}` {kind}, tokens array<string>, places array<bigint>")
+
+
+def prepared_blocks(docs: DataFrame, key: str, text: str, stopwords: list[str], group: Column | None = None) -> DataFrame:
+    """Blocks of the documents' content lemmas in order, without documents that have none; rows of one key are one document,
+    merged by place. ``group``: a number of each row, which is handed on for rows whose key is not null.
+
+    The verbs sent to all tasks are the attested ones in -ing and -ed, which are few beside the vocabulary. What follows keeps
+    the partitions of ``docs``, so documents in fewer than there are cores are dealt over these first.
+    """
+    held = docs.select(key, text, *([] if group is None else [group.cast("bigint").alias("group_")]))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        held = held.repartition(cores)
+    own = None if group is None else F.when(F.col(key).isNotNull(), F.array("group_")).otherwise(F.array().cast("array<bigint>"))
     again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("again"))
-    if again.isEmpty():
-        return listed.select(key, "tokens")
-    same = F.col(key).eqNullSafe(F.col("again"))
+    same, repeats = F.col(key).eqNullSafe(F.col("again")), not again.isEmpty()
+    once = held.join(again, same, "left_anti") if repeats else held
+    raw = written(raw_blocks(once, key, text, own), "raw")
+    words = raw.select("words")
+    if repeats:
+        others = held.join(again, same, "left_semi")
+        words = words.unionByName(written(raw_blocks(others, key, text).select("words"), "raw"))
+    tokens = words.select(F.explode("words").alias("raw")).select(F.explode(C.token_parts(F.col("raw"))).alias("token")).repartition(_dealt(raw, "n_words"), "token").distinct()
+    verbs = dict(map(tuple, attested_verbs(tokens).collect()))
+
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        lemmatize = Lemmatizer(verbs, stopwords)
+        for x in found:
+            of = [lemmatize(w) for w in x.words.to_pylist()]
+            sizes = np.array([len(y) for y in of], np.int64)
+            coded, n = pa.array(list(chain.from_iterable(of)), pa.string()).dictionary_encode(), sizes[x.codes]
+            codes = coded.indices.to_numpy()[ranges((np.cumsum(sizes) - sizes)[x.codes], n)]
+            lengths = np.diff(np.concatenate([[0], np.cumsum(n)])[x.ends])
+            kept = pa.array(lengths > 0)
+            yield Block(x.keys.filter(kept), None if x.groups is None else x.groups.filter(kept), np.concatenate([[0], np.cumsum(lengths[lengths > 0])]), codes, coded.dictionary).row(x.keys.type)
+
+    blocks = _map_blocks(raw, run, _block_schema(_key_kind(raw)))
+    if not repeats:
+        return blocks
     merged = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("places", "tokens"))))
-    several = listed.join(again, same, "left_semi").groupBy(key).agg(merged.alias("x")).select(key, F.col("x.tokens").alias("tokens"))
-    return listed.join(again, same, "left_anti").select(key, "tokens").unionByName(several)
+    several = _places(others, key, text, verbs, stopwords).groupBy(key).agg(merged.alias("x")).select(key, F.col("x.tokens").alias("tokens"))
+    if group is not None:
+        several = several.join(others.groupBy(F.col(key).alias("again")).agg(F.flatten(F.collect_list(own)).alias("groups")), same).drop("again")
+    return blocks.unionByName(array_blocks(several, key, "groups" if group is not None else None))
 
 
+def prepared_docs(docs: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
+    """key and its content lemmas in order (``tokens``), of documents that have any, as prepared_blocks() has them."""
+    return block_docs(prepared_blocks(docs, key, text, stopwords), key)
+
 
 #: The most frequent words, which are met by a broadcast.
 FREQUENT = 10_000
@@ -219,20 +350,18 @@ def tfidf(terms: DataFrame, vocab: DataFrame, n_docs: int, key: str) -> DataFram
 NUMBERED = 1 << 18
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, df and cf of the words of each batch of documents."""
-    for batch in batches:
-        at, coded = offsets(batch.column(0)), batch.column(0).flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        held = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * words + codes)
-        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(held % max(words, 1), minlength=words)), pa.array(np.bincount(codes, minlength=words))], ["term", "df", "cf"])
+def _word_counts(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+    """term, df and cf of the words of each block."""
+    for x in found:
+        words = len(x.words)
+        _, held, _ = _grouped(np.repeat(np.arange(len(x.keys)), np.diff(x.ends)), x.codes, max(words, 1))
+        yield pa.RecordBatch.from_arrays([x.words, pa.array(np.bincount(held, minlength=words)), pa.array(np.bincount(x.codes, minlength=words))], ["term", "df", "cf"])
 
 
-def _numbers(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of the documents, their numbers in ``words`` (-1 for others), their documents, and whether the next is of the same one."""
-    at = offsets(lists)
-    codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+def _numbers(x: Block, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of the documents, their numbers in ``words`` (-1 for others), their documents, and whether the next is of the same one."""
+    codes = pc.fill_null(pc.index_in(x.words, value_set=words), -1).to_numpy().astype(np.int64)[x.codes]
+    of = np.repeat(np.arange(len(x.keys)), np.diff(x.ends))
     return codes, of, of[:-1] == of[1:]
 
 
@@ -243,32 +372,37 @@ def _grouped(of: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 
 def vocabulary_list(docs: DataFrame, key: str, n_docs: int, min_df: int = 5, max_df: float = 0.5, most: int = 5000) -> list[tuple[str, int, int]]:
-    """term, df and cf as vocabulary_terms() has them, in order; ``docs`` has one row a key, and words without spaces as ``tokens``.
+    """As block_vocabulary(); ``docs`` has one row a key, and words without spaces as ``tokens``."""
+    return block_vocabulary(written(array_blocks(docs, key), "blocks"), n_docs, min_df, max_df, most)
+
+
+def block_vocabulary(blocks: DataFrame, n_docs: int, min_df: int = 5, max_df: float = 0.5, most: int = 5000) -> list[tuple[str, int, int]]:
+    """term, df and cf as vocabulary_terms() has them, in order, of written blocks in which no key repeats.
 
     The ``most`` words within the bounds have counts of ``least`` or more, so a term with fewer, or a pair with such a word, is
     none of the ``most`` terms.
     """
-    spark, low = docs.sparkSession, least_df(n_docs, min_df)
-    words = written(docs.select("tokens").mapInArrow(_word_counts, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "words")
+    spark, low = blocks.sparkSession, least_df(n_docs, min_df)
+    words = written(_map_blocks(blocks, _word_counts, "term string, df bigint, cf bigint").repartition(_dealt(blocks, "n_words"), "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "words")
     within = (F.col("df") >= low) & (F.col("df") <= max_df * n_docs)
     full, least = words.where(within).orderBy(F.desc("cf")).limit(most).agg(F.count(F.lit(1)), F.min("cf")).first()
     least = least if full == most else 0
     able = words.where((F.col("df") >= low) & (F.col("cf") >= least))
     names = [r.term for r in able.select("term").limit(NUMBERED + 1).collect()]
     if len(names) > NUMBERED:  # so many words are equally frequent that numbering them bounds nothing
-        own = vocabulary_terms(term_statistics(ngrams(docs, key), key), n_docs, min_df, max_df, most)
+        own = vocabulary_terms(term_statistics(ngrams(block_docs(blocks, "key"), "key"), "key"), n_docs, min_df, max_df, most)
         return [(r.term, r.df, r.cf) for r in own.collect()]
     numbered, k = pa.array(names, pa.string()), max(len(names), 1)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, of, same = _numbers(batch.column(0), numbered)
+    def pairs(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            codes, of, same = _numbers(x, numbered)
             met = np.flatnonzero(same & (codes[:-1] >= 0) & (codes[1:] >= 0))
             _, ids, n = _grouped(of[met], codes[met] * k + codes[met + 1], k * k)
             each, place = np.unique(ids, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(place, minlength=len(each))), pa.array(np.bincount(place, n, len(each)).astype(np.int64))], ["pair", "df", "cf"])
 
-    counted = docs.select("tokens").mapInArrow(pairs, "pair bigint, df bigint, cf bigint").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(within & (F.col("cf") >= least))
+    counted = _map_blocks(blocks, pairs, "pair bigint, df bigint, cf bigint").repartition(_dealt(blocks, "n_tokens"), "pair").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(within & (F.col("cf") >= least))
     number = spark.createDataFrame(list(enumerate(names)), "i bigint, w string")
     first, second = number.toDF("a", "wa"), number.toDF("b", "wb")
     named = counted.withColumns({"a": F.expr(f"pair div {k}"), "b": F.col("pair") % k}).join(F.broadcast(first), "a").join(F.broadcast(second), "b").select(F.concat("wa", F.lit(" "), "wb").alias("term"), "df", "cf")
@@ -276,38 +410,74 @@ def vocabulary_list(docs: DataFrame, key: str, n_docs: int, min_df: int = 5, max
     return [(r.term, r.df, r.cf) for r in own.collect()]
 
 
+class Terms:
+    """The terms of a vocabulary, by their places in order, as they are found in blocks."""
+
+    def __init__(self, vocab: list[tuple[str, int, int]]):
+        self.names = sorted(term for term, _, _ in vocab)
+        split = [t.split(" ") for t in self.names]
+        words = sorted({w for t in split for w in t})
+        place, self.k = {w: i for i, w in enumerate(words)}, max(len(words), 1)
+        self.single = np.full(self.k + 1, -1, np.int64)  # the last is for the words that are in no term
+        for i, t in enumerate(split):
+            if len(t) == 1:
+                self.single[place[t[0]]] = i
+        two = sorted((place[t[0]] * self.k + place[t[1]], i) for i, t in enumerate(split) if len(t) == 2)
+        self.codes, self.ids = np.array([x for x, _ in two] + [self.k**2], np.int64), np.array([i for _, i in two] + [-1], np.int64)
+        self.words = pa.array(words, pa.string())
+
+    def of(self, x: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents with their distinct terms, in order, and how often each occurs."""
+        codes, of, same = _numbers(x, self.words)
+        met = np.flatnonzero(same & (codes[:-1] >= 0) & (codes[1:] >= 0))
+        pair = codes[met] * self.k + codes[met + 1]
+        at = np.searchsorted(self.codes, pair)
+        alone, joined = self.single[codes], np.where(self.codes[at] == pair, self.ids[at], -1)
+        return _grouped(np.concatenate([of[alone >= 0], of[met][joined >= 0]]), np.concatenate([alone[alone >= 0], joined[joined >= 0]]), max(len(self.names), 1))
+
+
 def term_vectors(docs: DataFrame, key: str, vocab: list[tuple[str, int, int]], n_docs: int) -> DataFrame:
+    """As block_vectors(), of documents that have their words as the array ``tokens``."""
+    return block_vectors(array_blocks(docs, key), key, vocab, n_docs)
+
+
+def block_vectors(blocks: DataFrame, key: str, vocab: list[tuple[str, int, int]], n_docs: int) -> DataFrame:
     """key, ids (places in the sorted terms), counts and weights (as tfidf() has them) of the documents that have any term of ``vocab``."""
-    dfs = {term: df for term, df, _ in vocab}
-    terms = sorted(dfs)
-    idf = np.log((n_docs + 1) / (np.array([dfs[t] for t in terms], float) + 1)) + 1
-    split = [t.split(" ") for t in terms]
-    words = sorted({w for t in split for w in t})
-    place, k, width = {w: i for i, w in enumerate(words)}, max(len(words), 1), max(len(terms), 1)
-    single = np.full(k + 1, -1, np.int64)  # the last is for the words that are in no term
-    for i, t in enumerate(split):
-        if len(t) == 1:
-            single[place[t[0]]] = i
-    two = sorted((place[t[0]] * k + place[t[1]], i) for i, t in enumerate(split) if len(t) == 2)
-    codes_of, ids_of, known = np.array([x for x, _ in two] + [k * k], np.int64), np.array([i for _, i in two] + [-1], np.int64), pa.array(words, pa.string())
+    dfs, terms = {term: df for term, df, _ in vocab}, Terms(vocab)
+    idf = np.log((n_docs + 1) / (np.array([dfs[t] for t in terms.names], float) + 1)) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, of, same = _numbers(batch.column(1), known)
-            met = np.flatnonzero(same & (codes[:-1] >= 0) & (codes[1:] >= 0))
-            pair = codes[met] * k + codes[met + 1]
-            at = np.searchsorted(codes_of, pair)
-            alone, joined = single[codes], np.where(codes_of[at] == pair, ids_of[at], -1)
-            row, ids, n = _grouped(np.concatenate([of[alone >= 0], of[met][joined >= 0]]), np.concatenate([alone[alone >= 0], joined[joined >= 0]]), width)
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            row, ids, n = terms.of(x)
             w = n * idf[ids]
-            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
-            sizes = np.bincount(row, minlength=batch.num_rows)
+            w = w / np.sqrt(np.bincount(row, w * w, len(x.keys)))[row]
+            sizes = np.bincount(row, minlength=len(x.keys))
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((ids, pa.int32()), (n, pa.int64()), (w, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [key, "ids", "counts", "weights"]).filter(pa.array(sizes > 0))
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, ids array<int>, counts array<bigint>, weights array<double>")
+            lists = [pa.ListArray.from_arrays(ends, pa.array(y, kind)) for y, kind in ((ids, pa.int32()), (n, pa.int64()), (w, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([x.keys, *lists], [key, "ids", "counts", "weights"]).filter(pa.array(sizes > 0))
+
+    return _map_blocks(blocks, run, f"`{key}` {_key_kind(blocks)}, ids array<int>, counts array<bigint>, weights array<double>")
+
+
+def group_counts(blocks: DataFrame, vocab: list[tuple[str, int, int]]) -> DataFrame:
+    """topic_id, idx, c: occurrences of each term in the documents of each group. Groups are few, so that a task sums them all."""
+    terms = Terms(vocab)
+
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        width, sums = len(terms.names), {}
+        for x in found:
+            row, ids, n = terms.of(x)
+            at, coded = offsets(x.groups), pc.dictionary_encode(x.groups.flatten(), null_encoding="encode")
+            sizes = np.diff(at)[row]
+            group = coded.indices.to_numpy()[ranges(at[row], sizes)]
+            c = np.bincount(group * width + np.repeat(ids, sizes), np.repeat(n, sizes), len(coded.dictionary) * width).reshape(-1, width)
+            for name, own in zip(coded.dictionary.to_pylist(), c):
+                sums[name] = sums.get(name, 0) + own
+        for name, own in sums.items():
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.int64()), pa.array(held, pa.int32()), pa.array(own[held].astype(np.int64))], ["topic_id", "idx", "c"])
+
+    return _map_blocks(blocks, run, "topic_id bigint, idx int, c bigint").groupBy("topic_id", "idx").agg(F.sum("c").alias("c"))
 
 
 def named_terms(spark, vocab: list[tuple[str, int, int]]) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -269,3 +270,35 @@ def test_inference_side_by_side():
                 break
         phi = topics._expectation(gamma)[:, None] * beta[:, d]
         assert found[i] == pytest.approx(gamma, abs=1e-9) and parts[ends[i] : ends[i + 1]] == pytest.approx((phi / phi.sum(0) * w).T, abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_blocks_hold_whole_documents_and_their_groups(spark, monkeypatch, block):
+    """Texts are read once; rows that repeat a key are one document, in the groups of all its rows."""
+    monkeypatch.setattr(text, "BLOCK", block)
+    rows = [(i, " ".join(THEMES[i % 3].split()[: i % 5 + 1]), i % 3) for i in range(20)] + [(3, "tree graph", 7), (5, None, 8), (None, "table table", 1), (30, "the of", 2)]
+    docs = spark.createDataFrame(rows, "id long, text string, g long")
+    blocks = text.prepared_blocks(docs, "id", "text", lexicon.stopwords(), F.col("g"))
+    held = blocks.where("n_tokens > 0")
+    of = {}
+    for i, words, _ in rows:
+        own = [w for w in (words or "").split() if w not in ("the", "of")]
+        of[i] = [x for pair in zip(of[i], own) for x in pair] + of[i][len(own) :] if i in of and own else of.get(i, own)
+    got = {r.id: r.tokens for r in text.block_docs(held, "id").collect()}
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in of.items() if x}
+    want: dict = {}
+    for i, x in got.items():
+        for j, _, g in rows:
+            if i == j and i is not None:
+                for w in x:
+                    want[g, w] = want.get((g, w), 0) + 1
+    vocab = [(w, 1, 1) for w in sorted({w for x in got.values() for w in x})]
+    names = sorted(w for w, _, _ in vocab)
+    assert {(r.topic_id, names[r.idx]): r.c for r in text.group_counts(blocks, vocab).collect()} == want
+    assert {7, 8} <= {g for g, _ in want}
+
+
+def test_matches_are_those_of_the_token_pattern():
+    rng = np.random.default_rng(5)
+    for x in ["c++ c# .net a/b-c. a.+b 1#2 a+ a++b --x_y_ ..z", *("".join(rng.choice(list("ab1.+#-_/ "), 60)) for _ in range(300))]:
+        assert re.findall(text.MATCHES, x) == re.findall(lexicon.TOKEN, x)
