@@ -130,6 +130,9 @@ MATCHES = r"[a-z][a-z0-9]*+(?:\+\+|#)|\.?[a-z0-9]++(?:[-._/][a-z0-9]++)*+"
 #: Bytes of text in a block, and rows of words or pairs that are dealt to one partition, about.
 BLOCK, DEALT = 8 << 20, 1 << 19
 
+#: Bytes of text in a partition of documents that are dealt anew, and the most that a partition of a scan may hold.
+LOAD, MOST_LOAD = 64 << 20, 256 << 20
+
 
 class Block(NamedTuple):
     """Documents (``keys``) whose tokens are ``words[codes[ends[i]:ends[i + 1]]]``; ``groups`` has a list for each, or is None."""
@@ -179,6 +182,19 @@ def _dealt(blocks: DataFrame, column: str) -> int:
     return max(blocks.sparkSession.sparkContext.defaultParallelism, (blocks.agg(F.sum(column)).first()[0] or 0) // DEALT + 1)
 
 
+def balanced(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs``, dealt anew by key and text where one partition holds much more than a core's share of the text.
+
+    A row group of a Parquet file is read by one task, however many partitions the scan has.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = docs.select(F.spark_partition_id().alias("part"), F.octet_length(text).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    most, total = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most <= min(2 * total / cores, MOST_LOAD):
+        return docs
+    return docs.repartition(max(cores, total // LOAD + 1), key, text)
+
+
 def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = None) -> DataFrame:
     """Blocks of all documents with the matches of the token pattern. ``groups``: an array of numbers for each document."""
     lists, grouped = F.lit(None).cast("array<bigint>") if groups is None else groups, groups is not None
@@ -249,12 +265,9 @@ def prepared_blocks(docs: DataFrame, key: str, text: str, stopwords: list[str],
     merged by place. ``group``: a number of each row, which is handed on for rows whose key is not null.
 
     The verbs sent to all tasks are the attested ones in -ing and -ed, which are few beside the vocabulary. What follows keeps
-    the partitions of ``docs``, so documents in fewer than there are cores are dealt over these first.
+    the partitions of the documents, so that these are balanced() first.
     """
-    held = docs.select(key, text, *([] if group is None else [group.cast("bigint").alias("group_")]))
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        held = held.repartition(cores)
+    held = balanced(docs.select(key, text, *([] if group is None else [group.cast("bigint").alias("group_")])), key, text)
     own = None if group is None else F.when(F.col(key).isNotNull(), F.array("group_")).otherwise(F.array().cast("array<bigint>"))
     again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("again"))
     same, repeats = F.col(key).eqNullSafe(F.col("again")), not again.isEmpty()

@@ -302,3 +302,10 @@ def test_matches_are_those_of_the_token_pattern():
     rng = np.random.default_rng(5)
     for x in ["c++ c# .net a/b-c. a.+b 1#2 a+ a++b --x_y_ ..z", *("".join(rng.choice(list("ab1.+#-_/ "), 60)) for _ in range(300))]:
         assert re.findall(text.MATCHES, x) == re.findall(lexicon.TOKEN, x)
+
+
+def test_documents_that_one_task_reads_are_dealt_over_the_cores(spark):
+    docs = spark.range(0, 800, 1, 8).where("id < 100").selectExpr("id", "concat('alpha beta word', id) AS text")  # all in the first of 8 partitions
+    blocks = text.prepared_blocks(docs, "id", "text", []).select("keys").collect()
+    assert len(blocks) > 1 and max(len(b["keys"]) for b in blocks) < 60
+    assert sorted(k for b in blocks for k in b["keys"]) == list(range(100))
