@@ -12,7 +12,6 @@ as can still reach the vocabulary, by numbers.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -127,6 +126,50 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 #: lexicon.TOKEN for texts in lower case, without the steps back that could find nothing.
 MATCHES = r"[a-z][a-z0-9]*+(?:\+\+|#)|\.?[a-z0-9]++(?:[-._/][a-z0-9]++)*+"
 
+#: What has letters of MATCHES in lower case only, beside A-Z.
+FOLDED = {"\u0130": "i\u0307", "\u212a": "k"}
+_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTE >= ord("A")) & (_BYTE <= ord("Z")), _BYTE + 32, _BYTE).astype(np.uint8)
+_WORD = np.isin(_BYTE, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+_JOINS = np.isin(_BYTE, np.frombuffer(b"-._/", np.uint8))
+
+
+def matches(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The matches of MATCHES in the texts in lower case, one after another, and where those of each text begin, and their end.
+
+    Runs of letters and digits that one of ``-._/`` joins are one match, with a point before it. A run of its own that begins
+    with a letter and has no point takes a following ``#`` or ``++``.
+    """
+    for x, lower in FOLDED.items():
+        texts = pc.replace_substring(texts, x, lower)
+    texts = pc.binary_join_element_wise(pc.fill_null(texts, ""), "", "\n")  # a line break ends each text
+    sizes = pc.binary_length(texts).to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    if not bounds[-1]:
+        return np.zeros(len(bounds), np.int64), pa.array([], pa.string())
+    own = np.frombuffer(texts.buffers()[2], np.uint8)[: bounds[-1]]
+    own = _LOWER[own]
+    word = _WORD[own]
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edges = np.concatenate([[0], edges])
+    first, last = edges[::2], edges[1::2]  # each run's first byte and the byte behind it
+    head, tail = np.ones(len(first), bool), np.ones(len(first), bool)
+    head[1:] = (first[1:] - last[:-1] != 1) | ~_JOINS[own[last[:-1]]]
+    tail[:-1] = head[1:]
+    alone = tail[head]
+    first, last = first[head], last[tail]
+    point = (first > 0) & (own[first - 1] == ord("."))
+    able = alone & ~point & (own[first] >= ord("a"))
+    double = (own[last] == ord("+")) & (own[np.minimum(last + 1, len(own) - 1)] == ord("+"))
+    begin, end = first - point, last + np.where(able, np.where(own[last] == ord("#"), 1, 2 * double), 0)
+    held = np.zeros(len(own), np.int8)
+    held[begin] += 1
+    held[end] -= 1
+    ends = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    values = own[np.cumsum(held, dtype=np.int8).view(bool)]
+    return np.searchsorted(begin, bounds), pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(values))
+
 #: Bytes of text in a block, and rows of words or pairs that are dealt to one partition, about.
 BLOCK, DEALT = 8 << 20, 1 << 19
 
@@ -192,7 +235,7 @@ def balanced(docs: DataFrame, key: str, text: str) -> DataFrame:
     most, total = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if most <= min(2 * total / cores, MOST_LOAD):
         return docs
-    return docs.repartition(max(cores, total // LOAD + 1), key, text)
+    return docs.repartition(cores * (total // (cores * LOAD) + 1), key, text)
 
 
 def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = None) -> DataFrame:
@@ -200,18 +243,16 @@ def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = Non
     lists, grouped = F.lit(None).cast("array<bigint>") if groups is None else groups, groups is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(MATCHES).findall
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(a, b - a)
-                found = [find(x) if x else [] for x in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-                coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+                ends, found = matches(part.column(1))
+                coded = found.dictionary_encode()
                 yield Block(part.column(0), part.column(2) if grouped else None, ends, coded.indices.to_numpy(), coded.dictionary).row(part.column(0).type)
 
-    rows = docs.select(F.col(key), F.lower(F.col(text)).alias("text"), lists.alias("groups"))
+    rows = docs.select(F.col(key), F.col(text).alias("text"), lists.alias("groups"))
     return rows.mapInArrow(run, _block_schema(docs.schema[key].dataType.simpleString()))
 
 

@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +310,18 @@ def test_documents_that_one_task_reads_are_dealt_over_the_cores(spark):
     blocks = text.prepared_blocks(docs, "id", "text", []).select("keys").collect()
     assert len(blocks) > 1 and max(len(b["keys"]) for b in blocks) < 60
     assert sorted(k for b in blocks for k in b["keys"]) == list(range(100))
+
+
+def test_matches_of_arrays_are_those_of_texts_in_lower_case():
+    rng = np.random.default_rng(6)
+    odd = ["", None, "c++ c# .net a/b-c. a.+b 1#2 a+ a++b --x_y_ ..z .c# c#d c+++", "c+", "+", "#", "\u212ax \u0130y \u00c9Z"]
+    for xs in [[], [None], odd, *([["".join(rng.choice(list("aBz1.+#-_/ \n\u00e9"), rng.integers(0, 60))) for _ in range(20)] for _ in range(50)])]:
+        ends, found = text.matches(pa.array(["not read", *xs], pa.string()).slice(1))
+        assert [found.to_pylist()[a:b] for a, b in zip(ends, ends[1:])] == [re.findall(text.MATCHES, (x or "").lower()) for x in xs]
+
+
+def test_characters_that_are_folded_into_letters_of_tokens(spark):
+    """Of all characters, as lower() of Spark has them."""
+    points = pa.array([chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000], pa.string())
+    told = spark.createDataFrame(pa.table({"x": points})).where("ascii(x) >= 128").select("x", F.lower("x").alias("y")).where(F.col("y").rlike(r"[\x00-\x7F]"))
+    assert {r.x: r.y for r in told.collect()} == text.FOLDED
