@@ -425,6 +425,59 @@ def _grouped(of: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, n
     return both // width, both % width, n
 
 
+def _pairs(x: Block, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours that are both in ``words``, as one number, and their documents."""
+    codes, of, same = _numbers(x, words)
+    met = np.flatnonzero(same & (codes[:-1] >= 0) & (codes[1:] >= 0))
+    return codes[met] * max(len(words), 1) + codes[met + 1], of[met]
+
+
+def _pair_counts(found: Iterator[Block], words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """pair, df and cf of the pairs of ``words`` in each block."""
+    k = max(len(words), 1)
+    for x in found:
+        ids, of = _pairs(x, words)
+        _, ids, n = _grouped(of, ids, k * k)
+        each, place = np.unique(ids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(place, minlength=len(each))), pa.array(np.bincount(place, n, len(each)).astype(np.int64))], ["pair", "df", "cf"])
+
+
+def _likely_pairs(blocks: DataFrame, words: pa.Array, least: int, total: int) -> np.ndarray | None:
+    """All pairs that can have a count of ``least``, in order; None if they are too many for the driver.
+
+    Such a pair has at least one block's share of ``least`` in some block, by the block's share of all ``total`` tokens.
+    """
+
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        known = np.array([], np.int64)
+        for x in found:
+            each, n = np.unique(_pairs(x, words)[0], return_counts=True)
+            new = np.setdiff1d(each[n >= least * (len(x.codes) / total) * (1 - 1e-9)], known, assume_unique=True)
+            known = np.union1d(known, new) if len(known) < NUMBERED else new
+            yield pa.RecordBatch.from_arrays([pa.array(new)], ["pair"])
+
+    pairs = _map_blocks(blocks, run, "pair bigint").distinct().limit(NUMBERED + 1).toArrow().column(0).to_numpy()
+    return np.sort(pairs) if len(pairs) <= NUMBERED else None
+
+
+def _counts_of(blocks: DataFrame, words: pa.Array, pairs: np.ndarray) -> DataFrame:
+    """pair, df and cf of ``pairs``, which are few, so that a task sums them all."""
+
+    def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        df, cf = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        for x in found:
+            ids, of = _pairs(x, words)
+            at = np.minimum(np.searchsorted(pairs, ids), max(len(pairs) - 1, 0))
+            held = pairs[at] == ids if len(pairs) else np.zeros(len(ids), bool)
+            _, own, n = _grouped(of[held], at[held], max(len(pairs), 1))
+            df += np.bincount(own, minlength=len(pairs))
+            cf += np.bincount(own, n, len(pairs)).astype(np.int64)
+        own = np.flatnonzero(cf)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[own], df[own], cf[own])], ["pair", "df", "cf"])
+
+    return _map_blocks(blocks, run, "pair bigint, df bigint, cf bigint").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def vocabulary_list(docs: DataFrame, key: str, n_docs: int, min_df: int = 5, max_df: float = 0.5, most: int = 5000) -> list[tuple[str, int, int]]:
     """As block_vocabulary(); ``docs`` has one row a key, and words without spaces as ``tokens``."""
     return block_vocabulary(written(array_blocks(docs, key), "blocks"), n_docs, min_df, max_df, most)
@@ -434,7 +487,8 @@ def block_vocabulary(blocks: DataFrame, n_docs: int, min_df: int = 5, max_df: fl
     """term, df and cf as vocabulary_terms() has them, in order, of written blocks in which no key repeats.
 
     The ``most`` words within the bounds have counts of ``least`` or more, so a term with fewer, or a pair with such a word, is
-    none of the ``most`` terms.
+    none of the ``most`` terms. Of the pairs, those are counted that a first pass over the blocks finds often enough in one of
+    them; all, where there is no such bound.
     """
     spark, low = blocks.sparkSession, least_df(n_docs, min_df)
     words = written(_map_blocks(blocks, _word_counts, "term string, df bigint, cf bigint").repartition(_dealt(blocks, "n_words"), "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "words")
@@ -447,16 +501,14 @@ def block_vocabulary(blocks: DataFrame, n_docs: int, min_df: int = 5, max_df: fl
         own = vocabulary_terms(term_statistics(ngrams(block_docs(blocks, "key"), "key"), "key"), n_docs, min_df, max_df, most)
         return [(r.term, r.df, r.cf) for r in own.collect()]
     numbered, k = pa.array(names, pa.string()), max(len(names), 1)
-
-    def pairs(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-        for x in found:
-            codes, of, same = _numbers(x, numbered)
-            met = np.flatnonzero(same & (codes[:-1] >= 0) & (codes[1:] >= 0))
-            _, ids, n = _grouped(of[met], codes[met] * k + codes[met + 1], k * k)
-            each, place = np.unique(ids, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(place, minlength=len(each))), pa.array(np.bincount(place, n, len(each)).astype(np.int64))], ["pair", "df", "cf"])
-
-    counted = _map_blocks(blocks, pairs, "pair bigint, df bigint, cf bigint").repartition(_dealt(blocks, "n_tokens"), "pair").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(within & (F.col("cf") >= least))
+    total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    likely = _likely_pairs(blocks, numbered, least, total) if least else None
+    if likely is not None:
+        counted = _counts_of(blocks, numbered, likely)
+    else:
+        pairs = _map_blocks(blocks, lambda found: _pair_counts(found, numbered), "pair bigint, df bigint, cf bigint")
+        counted = pairs.repartition(_dealt(blocks, "n_tokens"), "pair").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    counted = counted.where(within & (F.col("cf") >= least))
     number = spark.createDataFrame(list(enumerate(names)), "i bigint, w string")
     first, second = number.toDF("a", "wa"), number.toDF("b", "wb")
     named = counted.withColumns({"a": F.expr(f"pair div {k}"), "b": F.col("pair") % k}).join(F.broadcast(first), "a").join(F.broadcast(second), "b").select(F.concat("wa", F.lit(" "), "wb").alias("term"), "df", "cf")

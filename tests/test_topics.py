@@ -325,3 +325,20 @@ def test_characters_that_are_folded_into_letters_of_tokens(spark):
     points = pa.array([chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000], pa.string())
     told = spark.createDataFrame(pa.table({"x": points})).where("ascii(x) >= 128").select("x", F.lower("x").alias("y")).where(F.col("y").rlike(r"[\x00-\x7F]"))
     assert {r.x: r.y for r in told.collect()} == text.FOLDED
+
+
+@pytest.mark.parametrize("numbered", [1 << 18, 60])
+def test_pairs_that_can_not_be_terms_are_not_counted(spark, monkeypatch, numbered):
+    """Frequent pairs of one block and of all blocks are found; where too many are likely, all are counted."""
+    rng = np.random.default_rng(2)
+    docs = [(i, [f"w{x}" for x in rng.zipf(1.3, 80) if x < 60] + ["a", "b"] * (60 if i < 6 else 0) + ["c", "d"]) for i in range(80)]
+    df = spark.createDataFrame(docs, "id long, tokens array<string>").repartition(8)
+    terms = text.ngrams(df, "id")
+    want = [(r.term, r.df, r.cf) for r in text.vocabulary_terms(text.term_statistics(terms, "id"), 80, max_df=1.0, most=30).collect()]
+    assert {"c d", "a b"} <= {t for t, _, _ in want}
+    monkeypatch.setattr(text, "NUMBERED", numbered)
+    counted = []
+    own = text._likely_pairs
+    monkeypatch.setattr(text, "_likely_pairs", lambda *x: counted.append(own(*x)) or counted[0])
+    assert text.vocabulary_list(df, "id", 80, max_df=1.0, most=30) == want
+    assert counted[0] is None if numbered == 60 else len(counted[0]) < terms.where("term LIKE '% %'").select("term").distinct().count() / 2
