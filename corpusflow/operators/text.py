@@ -75,6 +75,14 @@ def lemmas(vocab: DataFrame, protected: list[str] | None = None) -> DataFrame:
     return _bases(vocab, protected).join(attested_verbs(vocab, protected), "token", "left").select("token", F.coalesce("fixed", "verb", "base").alias("lemma"))
 
 
+def token_parts(raw: str) -> list[str]:
+    """As columns.token_parts() has them; most matches are letters only, which stay as they are."""
+    if raw.isalpha() and raw not in lexicon.CANONICAL:
+        return [raw]
+    bare = raw.strip("-_/").rstrip(".")
+    return lexicon.CANONICAL.get(bare, bare).split(" ") if bare.strip(lexicon.NUMBER_MARKS) else []
+
+
 class Lemmatizer:
     """The content lemmas of a match of the token pattern, by the same rules as columns.token_parts(), lemmas() and is_content()."""
 
@@ -90,9 +98,7 @@ class Lemmatizer:
         return found
 
     def content(self, raw: str) -> list[str]:
-        bare = raw.strip("-_/").rstrip(".")
-        parts = lexicon.CANONICAL.get(bare, bare).split(" ") if bare.strip(lexicon.NUMBER_MARKS) else []
-        own = [self.lemma(x) for x in parts if x not in self.stop]
+        own = [self.lemma(x) for x in token_parts(raw) if x not in self.stop]
         return [x for x in own if x in lexicon.DOMAIN_TERMS or (x not in self.stop and len(x) >= lexicon.MIN_LENGTH)]
 
     def lemma(self, token: str) -> str:
@@ -104,11 +110,13 @@ class Lemmatizer:
 def singular(token: str) -> str:
     """As columns.depluralize(), and the token itself where that has none."""
     n = len(token)
+    if not token.endswith("s"):
+        return token
     if token.endswith("ies") and n > 4:
         return token[:-3] + "y"
     if token.endswith(("sses", "shes", "ches", "xes", "zes")) and n > 4:
         return token[:-2]
-    if token.endswith("s") and n > lexicon.MIN_LENGTH and not token.endswith(tuple(lexicon.NO_PLURAL)):
+    if n > lexicon.MIN_LENGTH and not token.endswith(tuple(lexicon.NO_PLURAL)):
         return token[:-1]
     return token
 
@@ -256,6 +264,18 @@ def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = Non
     return rows.mapInArrow(run, _block_schema(docs.schema[key].dataType.simpleString()))
 
 
+def _new_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token: those of each list of matches, without the matches that the task has met before, as far as it remembers them."""
+    met: set[str] = set()
+    for batch in batches:
+        for words in batch.column(0):
+            new = set(words.values.to_pylist()) - met
+            if len(met) > NUMBERED:
+                met.clear()
+            met.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([t for x in new for t in token_parts(x)], pa.string())], ["token"])
+
+
 def array_blocks(docs: DataFrame, key: str, groups: str | None = None) -> DataFrame:
     """Blocks of documents that have their words as the array ``tokens``."""
 
@@ -318,7 +338,7 @@ def prepared_blocks(docs: DataFrame, key: str, text: str, stopwords: list[str],
     if repeats:
         others = held.join(again, same, "left_semi")
         words = words.unionByName(written(raw_blocks(others, key, text).select("words"), "raw"))
-    tokens = words.select(F.explode("words").alias("raw")).select(F.explode(C.token_parts(F.col("raw"))).alias("token")).repartition(_dealt(raw, "n_words"), "token").distinct()
+    tokens = written(words.mapInArrow(_new_tokens, "token string"), "words").repartition(_dealt(raw, "n_words"), "token").distinct()
     verbs = dict(map(tuple, attested_verbs(tokens).collect()))
 
     def run(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:

@@ -342,3 +342,15 @@ def test_pairs_that_can_not_be_terms_are_not_counted(spark, monkeypatch, numbere
     monkeypatch.setattr(text, "_likely_pairs", lambda *x: counted.append(own(*x)) or counted[0])
     assert text.vocabulary_list(df, "id", 80, max_df=1.0, most=30) == want
     assert counted[0] is None if numbered == 60 else len(counted[0]) < terms.where("term LIKE '% %'").select("term").distinct().count() / 2
+
+
+@pytest.mark.parametrize("numbered", [1 << 18, 2])
+def test_new_tokens_are_the_tokens_of_words_once_a_task(spark, monkeypatch, numbered):
+    monkeypatch.setattr(text, "NUMBERED", numbered)
+    odd = ["scikit", "llms", "gpt4", "1.2.3", "a-b", "-x_", "2024", "plain", ".net", "c++", "x.", "ml"]
+    lists = spark.createDataFrame([(odd,), (odd[::-1],), (["plain", "new"],), ([],)], "words array<string>").coalesce(1)
+    got = [r.token for r in lists.mapInArrow(text._new_tokens, "token string").collect()]
+    want = lists.select(F.explode("words").alias("raw")).distinct().select(F.explode(C.token_parts(F.col("raw"))).alias("token"))
+    assert set(got) == {r.token for r in want.collect()}
+    if numbered > 2:
+        assert sorted(got) == sorted(r.token for r in want.collect())
