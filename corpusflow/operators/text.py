@@ -92,7 +92,7 @@ class Lemmatizer:
     def __call__(self, raw: str) -> list[str]:
         found = self.known.get(raw)
         if found is None:
-            if len(self.known) >= 1 << 18:
+            if len(self.known) >= REMEMBERED:
                 self.known.clear()
             found = self.known[raw] = self.content(raw)
         return found
@@ -181,6 +181,12 @@ def matches(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 #: Bytes of text in a block, and rows of words or pairs that are dealt to one partition, about.
 BLOCK, DEALT = 8 << 20, 1 << 19
 
+#: Bytes of text that are searched for matches at once, which several arrays are as long as.
+PIECE = 1 << 20
+
+#: Matches that a task remembers, about.
+REMEMBERED = 1 << 18
+
 #: Bytes of text in a partition of documents that are dealt anew, and the most that a partition of a scan may hold.
 LOAD, MOST_LOAD = 64 << 20, 256 << 20
 
@@ -246,18 +252,24 @@ def balanced(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.repartition(cores * (total // (cores * LOAD) + 1), key, text)
 
 
+def _cut(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices with some ``size`` bytes of text, the second column; at least one."""
+    sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // size)) + 1
+    for a, b in zip([0, *cuts], [*cuts, rows.num_rows]):
+        yield rows.slice(a, b - a)
+
+
 def raw_blocks(docs: DataFrame, key: str, text: str, groups: Column | None = None) -> DataFrame:
     """Blocks of all documents with the matches of the token pattern. ``groups``: an array of numbers for each document."""
     lists, grouped = F.lit(None).cast("array<bigint>") if groups is None else groups, groups is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                part = batch.slice(a, b - a)
-                ends, found = matches(part.column(1))
-                coded = found.dictionary_encode()
+            for part in _cut(batch, BLOCK):
+                own = [matches(x.column(1)) for x in _cut(part, PIECE)]
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for x, _ in own]))]).astype(np.int64)
+                coded = pa.concat_arrays([x for _, x in own]).dictionary_encode()
                 yield Block(part.column(0), part.column(2) if grouped else None, ends, coded.indices.to_numpy(), coded.dictionary).row(part.column(0).type)
 
     rows = docs.select(F.col(key), F.col(text).alias("text"), lists.alias("groups"))
@@ -270,7 +282,7 @@ def _new_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words in batch.column(0):
             new = set(words.values.to_pylist()) - met
-            if len(met) > NUMBERED:
+            if len(met) > REMEMBERED:
                 met.clear()
             met.update(new)
             yield pa.RecordBatch.from_arrays([pa.array([t for x in new for t in token_parts(x)], pa.string())], ["token"])

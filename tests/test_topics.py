@@ -346,7 +346,7 @@ def test_pairs_that_can_not_be_terms_are_not_counted(spark, monkeypatch, numbere
 
 @pytest.mark.parametrize("numbered", [1 << 18, 2])
 def test_new_tokens_are_the_tokens_of_words_once_a_task(spark, monkeypatch, numbered):
-    monkeypatch.setattr(text, "NUMBERED", numbered)
+    monkeypatch.setattr(text, "REMEMBERED", numbered)
     odd = ["scikit", "llms", "gpt4", "1.2.3", "a-b", "-x_", "2024", "plain", ".net", "c++", "x.", "ml"]
     lists = spark.createDataFrame([(odd,), (odd[::-1],), (["plain", "new"],), ([],)], "words array<string>").coalesce(1)
     got = [r.token for r in lists.mapInArrow(text._new_tokens, "token string").collect()]
@@ -354,3 +354,15 @@ def test_new_tokens_are_the_tokens_of_words_once_a_task(spark, monkeypatch, numb
     assert set(got) == {r.token for r in want.collect()}
     if numbered > 2:
         assert sorted(got) == sorted(r.token for r in want.collect())
+
+
+def test_texts_are_searched_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta " * (i % 4) or None) for i in range(30)], "id long, text string").coalesce(1)
+    held = lambda: {r.id: r.tokens for r in text.block_docs(text.raw_blocks(docs, "id", "text"), "id").collect()}
+    whole = held()
+    assert whole == {i: ["alpha", f"w{i}", "beta"] * (i % 4) for i in range(30)}
+    monkeypatch.setattr(text, "PIECE", 40)
+    assert held() == whole
+    part = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * 30, None, "", *["y" * 30] * 6])], ["id", "text"])
+    cut = list(text._cut(part, 60))
+    assert len(cut) > 3 and pa.Table.from_batches(cut).to_pylist() == part.to_pylist()
